@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Scratch, map_rows, table
+from tidewatch.llm.common import BLOOM, Scratch, map_rows, settings, table
 from tidewatch.llm.components import components
 
 
@@ -120,10 +120,17 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+def confirmed(pairs: DataFrame, docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b), written, whose full shingle sets are similar enough.
+
+    Only texts that pairs name are shuffled: a Bloom filter of their ids is pushed
+    below the exchange. It needs a written table with a predicate to start from.
+    """
+    ids = scratch.keep(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
+    ids = ids.where(F.col("_id") >= -(1 << 63))
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    with settings(docs.sparkSession, BLOOM):
+        texts = scratch.keep(texts)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -147,7 +154,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
                 keep.append(100 * both_ >= p.percent * (len(x) + len(y) - both_))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
-    return both.mapInArrow(check, "a long, b long").distinct()
+    out = scratch.keep(both.mapInArrow(check, "a long, b long").distinct())
+    scratch.drop(texts)
+    return out
 
 
 def _keys(m: int) -> str:
@@ -242,7 +251,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
         members.where(f"rep <> centre.rep and {_close('n', 'centre.n', p)}")
         .select(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).distinct()
     )
-    links = scratch.keep(confirmed(pairs, docs, p))
+    links = confirmed(pairs, docs, p, scratch)
     first = scratch.keep(components(links, scratch))
     placed = members.select("key", "rep", "size").join(
         first.select(F.col("id").alias("rep"), "component"), "rep", "left"
@@ -250,7 +259,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     open_ = placed.join(split.select("key"), "key").join(reps.select("rep", "n", "bins"), "rep")
     more = scratch.keep(_blocks(open_, p))
-    again = scratch.keep(confirmed(more, docs, p))
+    again = confirmed(more, docs, p, scratch)
     whole = components(links.unionByName(again), scratch)
     reach = reps.select("h1", "h2", "rep").join(whole, F.col("rep") == F.col("id"), "left")
     reach = reach.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), F.coalesce("component", "rep").alias("component"))
