@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import map_rows, table
+from tidewatch.llm.common import map_rows, small_batches, table
 
 #: ASCII letters in lower case, digits and all bytes beyond ASCII stay; the rest separates.
 NORMAL = bytes(
@@ -40,7 +40,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -185,6 +185,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = 8, broadcast_words
         hit = hit.select(F.col("doc_id").alias("_tw_bad")).distinct()
         return docs.join(hit, F.col("doc_id") == F.col("_tw_bad"), "left_anti")
     index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in bench.collect()], size))
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

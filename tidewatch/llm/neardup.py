@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BLOOM, Scratch, map_rows, settings, table
+from tidewatch.llm.common import BLOOM, Scratch, map_rows, settings, small_batches, table
 from tidewatch.llm.components import components
 
 
@@ -59,7 +59,7 @@ class Params:
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -239,6 +239,7 @@ def _blocks(open_: DataFrame, p: Params) -> DataFrame:
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     scratch = Scratch(docs.sparkSession, "neardup")
+    small_batches(docs.sparkSession)
     sig = scratch.keep(signatures(docs, p))
     real = sig.where("n > 0 and doc_id is not null")
     reps = scratch.keep(

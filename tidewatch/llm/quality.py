@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import crc_fold, map_rows, table
+from tidewatch.llm.common import crc_fold, map_rows, small_batches, table
 
 #: Words of this many bytes and more are hashed whole and by their ends only.
 LONG_WORD = 64
@@ -63,7 +63,7 @@ def features(word: bytes, p: Params) -> np.ndarray:
 class Words(dict):
     """Word -> what make(word) gives, in bounded memory."""
 
-    def __init__(self, make, most: int = 200_000):
+    def __init__(self, make, most: int = 150_000):
         self.make, self.most = make, most
 
     def __missing__(self, word: bytes):
@@ -177,6 +177,7 @@ def keep_quality(
     """docs without the rows whose score is below threshold; no row moves."""
     model = train(docs, labels, label_col, crc_fold("doc_id", 4) != 2, params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
