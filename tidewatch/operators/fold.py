@@ -46,18 +46,23 @@ def fold(df: DataFrame, spec: StreamSpec, features: list[str], make: Callable[[]
     return clean.groupBy(*keys).applyInPandas(run, schema)
 
 
-def ensemble(df: DataFrame, features: list[str], order: list[str], members: int, make: Callable[[int], Kernel]) -> DataFrame:
-    """Adds the mean score of members that each fold the whole stream: a task for each member."""
-    wide = df.select(*order, *[c for c in features if c not in order]).withColumn("_member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
-    schema = StructType([f for f in wide.select(*order).schema.fields]).add("_score", "double")
+def ensemble(df: DataFrame, spec: StreamSpec, features: list[str], members: int, make: Callable[[int], Kernel], out: str = "mean") -> DataFrame:
+    """Adds the mean output of members that each fold the whole stream of a key: a task for each key and member.
+
+    Members see the features only; rows are named by the spec's order columns.
+    """
+    spec.check(df, *features)
+    row = list(dict.fromkeys([*spec.by, *spec.order]))
+    wide = df.select(*row, *[c for c in features if c not in row]).dropna(subset=features)
+    wide = wide.withColumn("_member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
+    schema = StructType([*wide.select(*row).schema.fields]).add("_out", "double")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return advance(make(int(key[0])), pdf, features, ["_score"])[[*order, "_score"]]
+        pdf = pdf.sort_values(list(spec.order), kind="stable").reset_index(drop=True)
+        return advance(make(int(key[-1])), pdf, features, ["_out"])[[*row, "_out"]]
 
-    scores = wide.groupBy("_member").applyInPandas(run, schema)
-    mean = scores.groupBy(*order).agg(F.avg("_score").alias("score"))
-    return df.join(mean, order)
+    each = wide.groupBy(*spec.by, "_member").applyInPandas(run, schema)
+    return df.join(each.groupBy(*row).agg(F.avg("_out").alias(out)), row)
 
 
 def dump(kernel: Kernel) -> bytes:

@@ -7,10 +7,12 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions import forests as T
 from tidewatch.functions import kernels as K
+from tidewatch.functions import learners as L
 from tidewatch.functions.metrics import pr_auc, roc_auc
-from tidewatch.operators import counts, moving, neighbours, simple, trees
-from tidewatch.operators.fold import ensemble, fold
+from tidewatch.operators import counts, forests, moving, neighbours, pipelines, simple, trees
+from tidewatch.operators.fold import fold
 from tidewatch.plans.stream import StreamSpec, arrival
 
 W = 10
@@ -135,10 +137,10 @@ _LW = f"WINDOW p AS ({_LO} ROWS BETWEEN {W} PRECEDING AND 1 PRECEDING), b AS ({_
 _LK = ", ".join(LINE_KEY)
 
 
-@query("mov_cov", f"""SELECT {_LK}, round(CASE WHEN n = 0 THEN 0 ELSE abs(cb - CASE WHEN n < 2 THEN 0 ELSE cp END) END, 4) + 0.0 AS score
-FROM (SELECT {_LK}, count(*) OVER p AS n, covar_pop(l_quantity, l_extendedprice) OVER p AS cp, covar_pop(l_quantity, l_extendedprice) OVER b AS cb FROM lineitem {_LW})""")
+@query("mov_cov", f"""SELECT {_LK}, round(CASE WHEN n = 0 THEN 0 ELSE abs(cb - CASE WHEN n < 2 THEN 0 ELSE cp END) END, 9) + 0.0 AS score
+FROM (SELECT {_LK}, count(*) OVER p AS n, covar_pop(l_quantity, l_discount) OVER p AS cp, covar_pop(l_quantity, l_discount) OVER b AS cb FROM lineitem {_LW})""")
 def mov_cov(spark, sf_dir):
-    return moving.covariance(lines(spark, sf_dir), LINES, "l_quantity", "l_extendedprice", W).select(*LINE_KEY, rounded(digits=4))
+    return moving.covariance(lines(spark, sf_dir), LINES, "l_quantity", "l_discount", W).select(*LINE_KEY, rounded(digits=9))
 
 
 _CORR = lambda w: f"CASE WHEN coalesce(stddev_pop(l_quantity) OVER {w} * stddev_pop(l_extendedprice) OVER {w}, 0) = 0 THEN 0 ELSE covar_pop(l_quantity, l_extendedprice) OVER {w} / (stddev_pop(l_quantity) OVER {w} * stddev_pop(l_extendedprice) OVER {w}) END"
@@ -149,12 +151,12 @@ def mov_corr(spark, sf_dir):
     return moving.correlation(lines(spark, sf_dir), LINES, "l_quantity", "l_extendedprice", W).select(*LINE_KEY, rounded())
 
 
-@query("mahalanobis2", f"""SELECT {_LK}, round(CASE WHEN n < 3 THEN 0 ELSE coalesce(((vb + r) * dx * dx - 2 * c * dx * dy + (va + r) * dy * dy) / nullif((va + r) * (vb + r) - c * c, 0), 0) END, 3) + 0.0 AS score
+@query("mahalanobis2", f"""SELECT {_LK}, round(CASE WHEN n < 3 THEN 0 ELSE coalesce(((vb + r) * dx * dx - 2 * c * dx * dy + (va + r) * dy * dy) / nullif((va + r) * (vb + r) - c * c, 0), 0) END, 7) + 0.0 AS score
 FROM (SELECT *, CASE WHEN va * vb - c * c <= 1e-12 * va * vb THEN 1e-6 * (va + vb) / 2 ELSE 0 END AS r FROM (
   SELECT {_LK}, count(*) OVER p AS n, var_samp(l_quantity) OVER p AS va, var_samp(l_tax) OVER p AS vb, covar_samp(l_quantity, l_tax) OVER p AS c,
     l_quantity - avg(l_quantity) OVER p AS dx, l_tax - avg(l_tax) OVER p AS dy FROM lineitem {_LW}))""")
 def mahalanobis2(spark, sf_dir):
-    return moving.mahalanobis(lines(spark, sf_dir), LINES, "l_quantity", "l_tax", W).select(*LINE_KEY, rounded(digits=3))
+    return moving.mahalanobis(lines(spark, sf_dir), LINES, "l_quantity", "l_tax", W).select(*LINE_KEY, rounded(digits=7))
 
 
 # Simple models and transformers --------------------------------------------------------------
@@ -445,8 +447,73 @@ def ipca(spark, sf_dir):
     return out.select(*LINE_KEY, "component_0", "component_1")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["mov_avg"](spark, sf_dir)
+def _lines_fold(make, columns: list[str], spark, sf_dir):
+    rows = unit_features(spark, sf_dir).select(*LINES_ORDER, *_UNIT)
+    return fold(rows, LINES, list(_UNIT), make).select(*LINE_KEY, *columns)
+
+
+def unit_features(spark, sf_dir):
+    return lines(spark, sf_dir).withColumns({k: F.expr(v) for k, v in _UNIT.items()})
+
+
+_FOLDS = {
+    "sdostream": lambda: L.SdoStream(32, 128, neighbours=4),
+    "rshash": lambda: L.RsHash(3, components=8, hashes=2, bins=128),
+    "xstream": lambda: L.XStream(tuple(_UNIT), k=8, chains=8, depth=6, window=64, init=64),
+    "asd": lambda: T.AsdForest(10, 64),
+    "autoencoder": lambda: L.Autoencoder(3, (8, 4, 8)),
+}
+for _name, _make in _FOLDS.items():
+    query(_name)(functools.partial(_lines_fold, _make, ["score"]))
+query("kitnet")(functools.partial(_lines_fold, lambda: L.KitNet(2, 100, 100), ["score", "phase"]))
+query("adaptive_svm")(functools.partial(_lines_fold, lambda: L.AdaptiveSvm(budget=30), ["score", "label"]))
+
+
+@query("rcf")
+def rcf(spark, sf_dir):
+    out = forests.random_cut_forest(unit_features(spark, sf_dir), LINES, list(_UNIT), n_trees=4, sample_size=64)
+    return out.select(*LINE_KEY, "score")
+
+
+@query("mondrian")
+def mondrian(spark, sf_dir):
+    out = forests.mondrian_forest(unit_features(spark, sf_dir), LINES, list(_UNIT), n_estimators=4)
+    return out.select(*LINE_KEY, "score")
 
 
-__all__ = ["QUERIES", "SQL", "ensemble", "flagship"]
+@query("online_iforest")
+def online_iforest(spark, sf_dir):
+    out = forests.online_forest(unit_features(spark, sf_dir), LINES, list(_UNIT), n_trees=4, max_leaf=16, window=256)
+    return out.select(*LINE_KEY, "score")
+
+
+@query("anoedge")
+def anoedge(spark, sf_dir):
+    """One chain of matrices for each year, as the state is global to a stream."""
+    rows = lines(spark, sf_dir).withColumn("year", F.year("l_shipdate"))
+    spec = StreamSpec(LINES_ORDER, ("year",))
+    rows = rows.select(*LINES_ORDER, "year", "t")
+    return fold(rows, spec, ["l_partkey", "l_suppkey", "t"], lambda: L.AnoEdge(32, 32, 2, 1)).select(*LINE_KEY, "score")
+
+
+@query("streamspot")
+def streamspot(spark, sf_dir):
+    """Graphs are users, edges successive event types; one set of clusters for each residue of the user."""
+    types = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "scroll", "view")])
+    code = F.coalesce(F.array_position(types, F.col("event_type")), F.lit(0)).cast("double")
+    rows = table(spark, sf_dir, "events").withColumn("code", code)
+    rows = rows.withColumn("next", F.lag("code", 1, 0.0).over(EVENTS.ordered())).withColumn("part", F.col("user_id") % 16)
+    rows = rows.select("event_id", "ts", "part", F.col("user_id").cast("double").alias("graph"), "code", "next")
+    spec = StreamSpec(("ts", "event_id"), ("part",))
+    return fold(rows, spec, ["graph", "code", "next"], lambda: L.StreamSpot(64, 2, 4, 64, 4)).select("event_id", "score")
+
+
+@query("pipe_minmax_hst")
+def pipe_minmax_hst(spark, sf_dir):
+    """Scaler and forest: rows are scored with what was scaled before them, and learned as scaled with them."""
+    names = ["l_discount", "l_quantity", "l_tax"]
+    return pipelines.scaled_half_space(lines(spark, sf_dir), names, LINES_ORDER, "t", **HST).select(*LINE_KEY, rounded())
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["mov_avg"](spark, sf_dir)
