@@ -3,10 +3,12 @@
 Base spans (email, ip, card, phone) come from regular expressions and checks.
 They are the seeds: the words that stand before them induce lexical patterns.
 Patterns and the identifier-shaped tokens that follow them form a bipartite
-graph; Spark scores it in rounds: a pattern's confidence is the share of its
-distinct instances that are known, an instance's score is one less the product
-of (1 - confidence) over its confident patterns. Tokens that confident patterns
-vouch for are new spans, with the kind of most of the pattern's seeds.
+graph; Spark scores it in rounds: a pattern's confidence is the share of the
+occurrences of its words that stand before a known identifier, counted in all
+documents that hold identifier-shaped tokens, so common words are no pattern; an
+instance's score is one less the product of (1 - confidence) over its confident
+patterns. Tokens that confident patterns vouch for are new spans, with the kind
+of most of the pattern's seeds.
 
 Positions are found natively: a text is split by the expression, and the lengths
 of gaps and matches add up to code point positions. Expressions are written so
@@ -97,8 +99,12 @@ def candidates() -> Column:
 
 #: The last two words before a position on its line, in lower case and with digits as 0.
 _LEFT = "substring(text, cast(greatest(x.start - 96, 0) + 1 as int), cast(least(x.start, 96) as int))"
-CONTEXT = f"""regexp_replace(lower(regexp_extract(
-    regexp_extract({_LEFT}, r'([^\\n]*)$', 1), r'(?:^|\\s)((?:[^\\s]+\\s+)?[^\\s]+)\\s*[("\\x27\\[<]*$', 1)), r'[0-9]', '0')"""
+CONTEXT = f"""regexp_replace(regexp_replace(lower(regexp_extract(
+    regexp_extract({_LEFT}, r'([^\\n]*)$', 1), r'(?:^|\\s)((?:[^\\s]+\\s+)?[^\\s]+)\\s*[("\\x27\\[<]*$', 1)), r'[0-9]', '0'), r'\\s+', ' ')"""
+#: Every run of two words, and every word, of a text.
+_RUNS = r"""transform(array(filter(split(regexp_replace(lower(text), r'[0-9]', '0'), r'\s+'), w -> w <> '')), w ->
+    concat(w, if(size(w) < 2, cast(array() as array<string>),
+        transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat(get(w, i - 1), ' ', get(w, i))))))[0]"""
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -113,10 +119,20 @@ def mentions(docs: DataFrame) -> DataFrame:
     )
 
 
-def discover(found: DataFrame, scratch: Scratch, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
+def occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """context, total: how often the words of contexts stand in documents with identifier-shaped tokens."""
+    holding = docs.select("text").where(F.col("text").rlike("[0-9@]"))
+    runs = holding.select(F.explode(F.expr(_RUNS)).alias("context"))
+    return runs.join(contexts.select("context"), "context").groupBy("context").agg(F.count("*").alias("total"))
+
+
+def discover(
+    docs: DataFrame, found: DataFrame, scratch: Scratch, rounds: int = 3, support: int = 5, confidence: float = 0.6
+) -> DataFrame:
     """row, doc_id, span of the candidates that confident patterns vouch for.
 
-    support: distinct seeds that a pattern needs; confidence: least share of known instances.
+    support: distinct seeds that a pattern needs; confidence: least share of the
+    occurrences of a pattern's words that stand before a known identifier.
     """
     each = found.where(F.col("found").isNotNull()).select("row", "doc_id", F.explode("found").alias("m"))
     each = each.where(F.col("m.context") != "")
@@ -135,40 +151,40 @@ def discover(found: DataFrame, scratch: Scratch, rounds: int = 3, support: int =
     )
     top = F.greatest(*[F.col(f"k{i}") for i in range(len(KINDS))])
     kind = F.coalesce(*[F.when(F.col(f"k{i}") == top, F.lit(i)) for i in range(len(KINDS))])
+    useful = scratch.keep(useful.select("context", kind.alias("as_kind")))
+    counted = scratch.keep(useful.join(occurrences(docs, useful), "context"))
     graph = scratch.keep(
-        edges.join(useful.select("context", kind.alias("as_kind")), "context")
-        .select("context", "value", "as_kind", F.when(known, 1.0).otherwise(0.0).alias("score"))
+        edges.join(counted, "context")
+        .select("context", "value", "as_kind", "total", "n", F.when(known, 1.0).otherwise(0.0).alias("score"))
     )
+
+    def trusted(scores: DataFrame) -> DataFrame:
+        trust = F.sum(F.col("score") * F.col("n")) / F.greatest(F.col("total"), F.sum("n"))
+        return scores.groupBy("context", "as_kind", "total").agg(trust.alias("trust")).where(F.col("trust") >= confidence)
+
     scored = graph
     for _ in range(rounds):
-        patterns = (
-            scored.groupBy("context", "as_kind").agg(F.avg("score").alias("trust")).where(F.col("trust") >= confidence)
-        )
-        vouched = graph.where("score = 0").select("context", "value").join(patterns, "context")
+        vouched = graph.where("score = 0").select("context", "value").join(trusted(scored), "context")
         # 1 - product of (1 - trust), with full trust kept finite.
         lifted = vouched.groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.999999)))))).alias("lift"))
         last = scored
-        scored = scratch.keep(
-            graph.join(lifted, "value", "left").select(
-                "context", "value", "as_kind", F.when(F.col("score") == 1, 1.0).otherwise(F.coalesce("lift", F.lit(0.0))).alias("score")
-            )
-        )
+        score = F.when(F.col("score") == 1, 1.0).otherwise(F.coalesce("lift", F.lit(0.0))).alias("score")
+        scored = scratch.keep(graph.join(lifted, "value", "left").select("context", "value", "as_kind", "total", "n", score))
         if last is not graph:
             scratch.drop(last)
-    trusted = scored.groupBy("context", "as_kind").agg(F.avg("score").alias("trust")).where(F.col("trust") >= confidence)
     new = each.where("m.kind < 0").select("row", "doc_id", "m.start", "m.end", F.col("m.context").alias("context"))
     return (
-        new.join(trusted.select("context", F.col("as_kind").alias("kind")), "context")
+        new.join(trusted(scored).select("context", F.col("as_kind").alias("kind")), "context")
         .select("row", "doc_id", F.struct("start", "kind", "end").alias("span"))
         .distinct()
     )
 
 
-def find_pii(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
+def find_pii(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.6) -> DataFrame:
     """doc_id, row, base (spans), every (base and discovered spans, in order)."""
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.keep(mentions(docs))
-    new = discover(found, scratch, rounds, support, confidence)
+    new = discover(docs, found, scratch, rounds, support, confidence)
     new = new.groupBy(F.col("row").alias("_row"), F.col("doc_id").alias("_doc")).agg(F.collect_list("span").alias("new"))
     both = found.select("doc_id", "row", "base").join(
         new, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left"
@@ -192,7 +208,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mask(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
+def mask(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.6) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; all columns stay."""
     found = find_pii(docs, rounds, support, confidence).where(F.size("every") > 0)
     found = found.select(F.col("row").alias("_tw_row"), F.col("doc_id").alias("_tw_doc"), F.col("every").alias("_tw_spans"))
