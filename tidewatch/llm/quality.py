@@ -48,16 +48,24 @@ class Params:
     most: int = 5
 
 
-def features(word: bytes, p: Params) -> np.ndarray:
+def feature_ids(word: bytes, p: Params) -> list[int]:
     """Rows of the hash table for a word: itself and its character n-grams."""
     if len(word) > LONG_WORD:
         parts = [word, b"<" + word[:16], word[-16:] + b">"]
+    elif word.isascii():  # a character is a byte
+        w = b"<" + word + b">"
+        parts = [word] + [w[i : i + n] for n in range(p.least, p.most + 1) for i in range(len(w) - n + 1)]
     else:
         w = f"<{word.decode(errors='replace')}>"
         parts = [word] + [
             w[i : i + n].encode() for n in range(p.least, p.most + 1) for i in range(len(w) - n + 1)
         ]
-    return np.fromiter((zlib.crc32(x) & (p.buckets - 1) for x in parts), np.int64, len(parts))
+    last, crc = p.buckets - 1, zlib.crc32
+    return [crc(x) & last for x in parts]
+
+
+def features(word: bytes, p: Params) -> np.ndarray:
+    return np.array(feature_ids(word, p), np.int64)
 
 
 class Words(dict):
@@ -144,9 +152,11 @@ def scorer(model: tuple[np.ndarray, float], p: Params):
     weights, bias = model
     same = float(weights[same_row(p)])
 
+    numbers = weights.tolist()
+
     def number(word: bytes) -> tuple[float, int]:
-        ids = features(word, p)
-        return float(weights[ids].sum()), len(ids)
+        ids = feature_ids(word, p)
+        return sum([numbers[i] for i in ids]), len(ids)
 
     cache = Words(number)
 
