@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import crc_fold, map_rows, table
+from tidewatch.llm.common import crc_fold, small_batches, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNIT = 24
@@ -147,6 +147,8 @@ def _runs(local: np.ndarray) -> list[tuple[int, int]]:
 
 
 CHUNK = 10_000
+#: Words whose likelihoods a task keeps.
+CACHE = 150_000
 
 
 def fit(lattice: Lattice, counts: dict[str, int], rounds: int = 4, smooth: float = 0.1) -> np.ndarray:
@@ -165,7 +167,7 @@ def fit(lattice: Lattice, counts: dict[str, int], rounds: int = 4, smooth: float
 
 def units(text: str | None) -> list[str]:
     found = LETTERS.findall((text or "").lower())
-    if any(len(w) > UNIT for w in found):
+    if max(map(len, found), default=0) > UNIT:
         return [w[i : i + UNIT] for w in found for i in range(0, len(w), UNIT)]
     return found
 
@@ -206,33 +208,64 @@ def train(docs: DataFrame, learn: Column, pieces: list[str], per_language: int)
     return langs, np.stack(probs, 1) if probs else np.zeros((len(pieces) + 1, 0))
 
 
+class WordScores:
+    """Log-likelihoods of words in each language, kept for at most CACHE words besides those of the last texts."""
+
+    def __init__(self, lattice: Lattice, probs: np.ndarray):
+        self.lattice, self.probs = lattice, probs
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((0, self.probs.shape[1]))
+
+    def totals(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The sum over each text's words."""
+        new = dict.fromkeys(w for words in texts for w in words if w not in self.at)
+        if len(self.at) + len(new) > CACHE:
+            self._clear()
+            new = dict.fromkeys(w for words in texts for w in words)
+        todo = list(new)
+        parts = [self.lattice.forward(todo[i : i + CHUNK], self.probs) for i in range(0, len(todo), CHUNK)]
+        self.at.update(zip(todo, range(len(self.at), len(self.at) + len(todo))))
+        self.table = np.concatenate([self.table, *parts])
+        return [self.table[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(0) for words in texts]
+
+
+def groups(texts: list[str | None], words: int = 20 * CHUNK):
+    """Lists of the word lists of consecutive texts, each of so many words or one text more."""
+    part, n = [], 0
+    for text in texts:
+        part.append(units(text))
+        n += len(part[-1])
+        if n >= words:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], pieces: list[str]) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast((pieces, *model))
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
 
-    def make():
         own, langs, probs = shared.value
-        lattice = Lattice(own)
-        cache: dict[str, np.ndarray] = {}
-
-        def row(doc_id, text):
-            words = units(text)
-            if not words or not langs:
-                return doc_id, "und", 0.0
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            if len(cache) + len(new) > 150_000:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            for i in range(0, len(new), CHUNK):
-                part = new[i : i + CHUNK]
-                cache.update(zip(part, lattice.forward(part, probs)))
-            total = np.sum([cache[w] for w in words], 0)
-            share = np.exp(total - total.max())
-            return doc_id, langs[int(share.argmax())], float(1 / share.sum())
-
-        return row
-
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double")
+        known = WordScores(Lattice(own), probs)
+        for batch in batches:
+            names, scores = [], []
+            for texts in groups(batch.column(1).to_pylist()):
+                for words, total in zip(texts, known.totals(texts) if langs else texts):
+                    share = np.exp(total - total.max()) if words and langs else None
+                    names.append("und" if share is None else langs[int(share.argmax())])
+                    scores.append(0.0 if share is None else float(1 / share.sum()))
+            columns = [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, per_language: int = 800, vocabulary: str = VOCABULARY) -> DataFrame:
