@@ -149,6 +149,8 @@ def _runs(local: np.ndarray) -> list[tuple[int, int]]:
 CHUNK = 10_000
 #: Words whose likelihoods a task keeps.
 CACHE = 150_000
+#: Ids ranked for the sample, as a multiple of those taken.
+SPARE = 8
 
 
 def fit(lattice: Lattice, counts: dict[str, int], rounds: int = 4, smooth: float = 0.1) -> np.ndarray:
@@ -174,15 +176,19 @@ def units(text: str | None) -> list[str]:
 
 def train(docs: DataFrame, learn: Column, pieces: list[str], per_language: int) -> tuple[list[str], np.ndarray]:
     ids = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    order = (F.xxhash64("doc_id"), "doc_id")
-    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64))).orderBy(*order)
-    whole = Window.partitionBy("lang").orderBy(*order)
-    chosen = (
-        ids.withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= per_language)
-        .withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= per_language)
-        .select(F.col("doc_id").alias("_id")).distinct()
-    )
-    rows = docs.where(learn & F.col("lang").isNotNull()).join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
+    # One number for each language, as the model has one column for each.
+    sizes = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()
+    if not sizes:
+        return [], np.zeros((len(pieces) + 1, 0))
+    # The ids of lowest hash: eight times as many as wanted, whatever the size of the table.
+    bound = {x.lang: -(2.0**63) + 2.0**64 * min(1.0, SPARE * per_language / x.n) for x in sizes}
+    below = F.element_at(F.create_map(*[F.lit(v) for pair in bound.items() for v in pair]), F.col("lang"))
+    near = docs.where(learn & F.col("lang").isNotNull() & (F.xxhash64("doc_id").cast("double") <= below))
+    low = near.select("lang", "doc_id", F.xxhash64("doc_id").alias("_hash")).distinct()
+    first = Window.partitionBy("lang").orderBy("_hash", "doc_id")
+    chosen = low.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= per_language)
+    chosen = chosen.select(F.col("doc_id").alias("_id")).distinct()
+    rows = near.join(chosen, F.col("doc_id") == F.col("_id"), "left_semi")
 
     def count(batches):
         import pyarrow as pa
