@@ -14,9 +14,15 @@ from tidewatch.functions.kernels import Kernel
 from tidewatch.plans.stream import StreamSpec
 
 
-def advance(kernel: Kernel, pdf: pd.DataFrame, features: list[str], outputs: list[str]) -> pd.DataFrame:
-    """pdf with the kernel's outputs, in the order of its rows."""
-    rows = [kernel.step(row) for row in pdf[features].itertuples(index=False, name=None)]
+def advance(kernel: Kernel, pdf: pd.DataFrame, features: list[str], outputs: list[str], learn_first: bool = False) -> pd.DataFrame:
+    """pdf with the kernel's outputs, in the order of its rows.
+
+    learn_first: of a copy of the kernel that has learned the row; the kernel itself goes on unscored.
+    """
+    rows = []
+    for row in pdf[features].itertuples(index=False, name=None):
+        made = kernel.step(row)
+        rows.append(pickle.loads(dump(kernel)).step(row) if learn_first else made)
     made = pd.DataFrame(rows, columns=outputs, index=pdf.index)
     return pd.concat([pdf, made], axis=1)
 
@@ -28,8 +34,7 @@ def fold(df: DataFrame, spec: StreamSpec, features: list[str], make: Callable[[]
     stream is one task, as its state is one chain.
     """
     spec.check(df, *features)
-    if spec.discipline != "score_first":
-        raise ValueError("kernels score first")
+    learn_first = spec.discipline == "learn_first"
     ddl = make().outputs
     added = StructType.fromDDL(ddl)
     names = added.fieldNames()
@@ -39,7 +44,7 @@ def fold(df: DataFrame, spec: StreamSpec, features: list[str], make: Callable[[]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return advance(make(), pdf[columns], features, names)
+        return advance(make(), pdf[columns], features, names, learn_first)
 
     keys = [F.col(c) for c in spec.by] or [F.lit(0).alias("_tw_all")]
     clean = df.drop(*names).dropna(subset=features)
@@ -52,6 +57,7 @@ def ensemble(df: DataFrame, spec: StreamSpec, features: list[str], members: int,
     Members see the features only; rows are named by the spec's order columns.
     """
     spec.check(df, *features)
+    learn_first = spec.discipline == "learn_first"
     row = list(dict.fromkeys([*spec.by, *spec.order]))
     wide = df.select(*row, *[c for c in features if c not in row]).dropna(subset=features)
     wide = wide.withColumn("_member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
@@ -59,7 +65,7 @@ def ensemble(df: DataFrame, spec: StreamSpec, features: list[str], members: int,
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(spec.order), kind="stable").reset_index(drop=True)
-        return advance(make(int(key[-1])), pdf, features, ["_out"])[[*row, "_out"]]
+        return advance(make(int(key[-1])), pdf, features, ["_out"], learn_first)[[*row, "_out"]]
 
     each = wide.groupBy(*spec.by, "_member").applyInPandas(run, schema)
     return df.join(each.groupBy(*row).agg(F.avg("_out").alias(out)), row)

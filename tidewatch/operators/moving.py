@@ -9,6 +9,8 @@ learn_first it ends with the row, whose value then counts twice.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,31 +120,44 @@ def growth(df: DataFrame, spec: StreamSpec, value: str, window: int, out: str =
     return rows.withColumn(out, score).drop("_v", "_first", "_last", "_n")
 
 
-def _frames(spec: StreamSpec, window: int):
-    if spec.discipline != "score_first":
-        raise ValueError("two-column moving statistics score first")
-    return spec.past(window), spec.ordered().rowsBetween(-window, 0)
+def _pair(spec: StreamSpec, x: str, y: str, window: int):
+    """(n, var x, var y, cov) of the window and of the window with the row; population moments, null without rows.
+
+    Under learn_first the window ends with the row, which then counts twice: its
+    moments follow from those of the window and the row's distance to the mean.
+    """
+    past = spec.past(window)
+    moments = lambda w: (F.count(x).over(w), F.var_pop(x).over(w), F.var_pop(y).over(w), F.covar_pop(x, y).over(w))
+    before = moments(past)
+    if spec.discipline == "score_first":
+        return before, moments(spec.ordered().rowsBetween(-window, 0))
+    n = before[0].cast("double")
+    dx, dy = F.col(x) - F.avg(x).over(past), F.col(y) - F.avg(y).over(past)
+    grown = [n / (n + 1) * (m + d / (n + 1)) for m, d in zip(before[1:], (dx * dx, dy * dy, dx * dy))]
+    return before, (before[0] + 1, *grown)
 
 
 def covariance(df: DataFrame, spec: StreamSpec, x: str, y: str, window: int, bias: bool = True, out: str = "score", abs_diff: bool = True) -> DataFrame:
     """cov(window with the row) - cov(window); fewer than two rows count as 0."""
-    past, both = _frames(spec, window)
-    cov = F.covar_pop if bias else F.covar_samp
-    side = lambda w: F.when(F.count(x).over(w) < 2, 0.0).otherwise(cov(x, y).over(w))
-    diff = side(both) - side(past)
-    score = F.when(F.count(x).over(past) == 0, 0.0).otherwise(F.abs(diff) if abs_diff else diff)
+    past, both = _pair(spec, x, y, window)
+
+    def side(n, _x, _y, cov) -> Column:
+        return F.when(n < 2, 0.0).otherwise(cov if bias else cov * n / F.nullif(n - 1, F.lit(0)))
+
+    diff = side(*both) - side(*past)
+    score = F.when(past[0] == 0, 0.0).otherwise(F.abs(diff) if abs_diff else diff)
     return df.withColumn(out, score)
 
 
 def correlation(df: DataFrame, spec: StreamSpec, x: str, y: str, window: int, out: str = "score", abs_diff: bool = True) -> DataFrame:
     """Pearson(window with the row) - Pearson(window); a side without spread counts as 0."""
-    past, both = _frames(spec, window)
+    past, both = _pair(spec, x, y, window)
 
-    def side(w) -> Column:
-        spread = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)
-        return F.when(F.coalesce(spread, F.lit(0.0)) == 0, 0.0).otherwise(F.covar_pop(x, y).over(w) / F.nullif(spread, F.lit(0.0)))
+    def side(_n, vx, vy, cov) -> Column:
+        spread = F.sqrt(vx) * F.sqrt(vy)
+        return F.when(F.coalesce(spread, F.lit(0.0)) == 0, 0.0).otherwise(cov / F.nullif(spread, F.lit(0.0)))
 
-    diff = side(both) - side(past)
+    diff = side(*both) - side(*past)
     return df.withColumn(out, F.abs(diff) if abs_diff else diff)
 
 
@@ -159,3 +174,32 @@ def mahalanobis(df: DataFrame, spec: StreamSpec, x: str, y: str, window: int, ou
     d2 = F.expr("try_divide(_b * _dx * _dx - 2 * _c * _dx * _dy + _a * _dy * _dy, _a * _b - _c * _c)")
     score = F.when(F.col("_n") < 3, 0.0).otherwise(F.coalesce(d2, F.lit(0.0)))
     return rows.withColumn(out, score).drop("_n", "_a", "_b", "_c", "_dx", "_dy", "_r")
+
+
+def mahalanobis_all(df: DataFrame, spec: StreamSpec, features: list[str], window: int, out: str = "score") -> DataFrame:
+    """Squared distance of a row to its window, for any number of features.
+
+    The window's covariances are window functions; only the linear systems are
+    solved in Arrow batches. 0 with fewer than three rows, as for two features;
+    a singular covariance gets a ridge; a null feature gives a null score.
+    """
+    spec.check(df, *features)
+    past, d = spec.past(window), len(features)
+    cov = F.array(*[F.covar_samp(a, b).over(past) for a in features for b in features])
+    gap = F.array(*[F.col(a) - F.avg(a).over(past) for a in features])
+
+    @F.pandas_udf("double")
+    def solve(n: pd.Series, cov: pd.Series, gap: pd.Series) -> pd.Series:
+        def one(n, c, g):
+            if any(v is None or v != v for v in g):
+                return None if n else 0.0
+            if n < 3:
+                return 0.0
+            m, g = np.array(c, float).reshape(d, d), np.array(g, float)
+            if np.linalg.matrix_rank(m) < d:
+                m = m + np.eye(d) * 1e-6 * np.trace(m) / d
+            return float(g @ np.linalg.solve(m, g)) if np.trace(m) > 0 else 0.0
+
+        return pd.Series([one(*r) for r in zip(n, cov, gap)], dtype=object).astype("float64")
+
+    return df.withColumn(out, solve(F.count(features[0]).over(past), cov, gap))

@@ -162,6 +162,12 @@ def mahalanobis2(spark, sf_dir):
 # Simple models and transformers --------------------------------------------------------------
 
 
+@query("mahalanobis3")
+def mahalanobis3(spark, sf_dir):
+    names = ["l_quantity", "l_extendedprice", "l_discount"]
+    return moving.mahalanobis_all(lines(spark, sf_dir), LINES, names, W).select(*LINE_KEY, rounded())
+
+
 @query("null_model", "SELECT event_id, 0.0::DOUBLE AS score FROM events")
 def null_model(spark, sf_dir):
     return simple.null_scores(events(spark, sf_dir)).select("event_id", "score")

@@ -40,7 +40,7 @@ def stream_fold(df: DataFrame, spec: StreamSpec, features: list[str], make: Call
             pdf = pdf[[not x for x in old]].reset_index(drop=True)
         if len(pdf):
             newest = tuple(pdf[order].iloc[-1])
-        out = advance(kernel, pdf, features, names)
+        out = advance(kernel, pdf, features, names, spec.discipline == "learn_first")
         state.update((pickle.dumps((kernel, newest)),))
         yield out
 
