@@ -367,6 +367,61 @@ class Autoencoder(Kernel):
         return (self.net.loss(x, self.kind, learn=True),)
 
 
+def _squash(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+class _FirstStep:
+    """An LSTM layer on a sequence of one row: with zero state before it, the forget gate and recurrent weights play no part."""
+
+    def __init__(self, n: int, hidden: int, rng: np.random.Generator):
+        self.w = rng.uniform(-1, 1, (3, hidden, n)) / math.sqrt(hidden)  # input, candidate, output
+        self.b = rng.uniform(-1, 1, (3, hidden)) / math.sqrt(hidden)
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        z = self.w @ x + self.b
+        self.x, self.i, self.g, self.o = x, _squash(z[0]), np.tanh(z[1]), _squash(z[2])
+        self.c = np.tanh(self.i * self.g)
+        return self.o * self.c
+
+    def learn(self, slope: np.ndarray, rate: float) -> np.ndarray:
+        """One step down the loss; returns the slope by the layer's input."""
+        cell = slope * self.o * (1 - self.c**2)
+        z = np.stack([cell * self.g * self.i * (1 - self.i), cell * self.i * (1 - self.g**2), slope * self.c * self.o * (1 - self.o)])
+        back = np.einsum("khn,kh->n", self.w, z)
+        self.w = self.w - rate * z[:, :, None] * self.x
+        self.b = self.b - rate * z
+        return back
+
+
+class LstmAutoencoder(Kernel):
+    """Mean squared error of a recurrent encoder and decoder around a dense bottleneck; each row is a sequence of its own."""
+
+    def __init__(self, n_features=1, hidden=64, latent=16, rate=0.01, seed=1):
+        rng = np.random.default_rng(seed)
+        self.encoder, self.decoder = _FirstStep(n_features, hidden, rng), _FirstStep(hidden, n_features, rng)
+        self.w = [rng.uniform(-1, 1, (b, a)) / math.sqrt(a) for a, b in ((hidden, latent), (latent, hidden))]
+        self.b = [np.zeros(latent), np.zeros(hidden)]
+        self.rate = rate
+
+    def loss(self, x: np.ndarray, learn: bool = False) -> float:
+        h = self.encoder.forward(x)
+        z = self.w[0] @ h + self.b[0]
+        gap = self.decoder.forward(self.w[1] @ z + self.b[1]) - x
+        if learn:
+            slope = self.decoder.learn(2 * gap / len(x), self.rate)
+            for k, given in ((1, z), (0, h)):
+                back = self.w[k].T @ slope
+                self.w[k] = self.w[k] - self.rate * np.outer(slope, given)
+                self.b[k] = self.b[k] - self.rate * slope
+                slope = back
+            self.encoder.learn(slope, self.rate)
+        return float((gap * gap).mean())
+
+    def step(self, row):
+        return (self.loss(np.array(row, float), learn=True),)
+
+
 class KitNet(Kernel):
     """Small autoencoders over correlated feature groups, and one over their errors."""
 

@@ -468,6 +468,7 @@ _FOLDS = {
     "xstream": lambda: L.XStream(tuple(_UNIT), k=8, chains=8, depth=6, window=64, init=64),
     "asd": lambda: T.AsdForest(10, 64),
     "autoencoder": lambda: L.Autoencoder(3, (8, 4, 8)),
+    "lstm_autoencoder": lambda: L.LstmAutoencoder(3, 8, 4),
 }
 for _name, _make in _FOLDS.items():
     query(_name)(functools.partial(_lines_fold, _make, ["score"]))
