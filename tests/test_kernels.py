@@ -81,7 +81,7 @@ MODELS = {
     "xstream": lambda: L.XStream(("a", "b"), 10, 10, 8, 64, 64), "asd": lambda: T.AsdForest(20, 64),
     "histograms": lambda: K.RandomHistograms(2), "svm": lambda: K.LinearSvm(), "rcf": lambda: T.RandomCutTree(64),
     "mondrian": lambda: T.MondrianTree(2), "online": lambda: T.OnlineTree(8, window_size=128),
-    "autoencoder": lambda: L.Autoencoder(2, (4,)), "kitnet": lambda: L.KitNet(1, 100, 100), "adaptive": lambda: L.AdaptiveSvm(budget=20),
+    "autoencoder": lambda: L.Autoencoder(2, (4,)), "lstm": lambda: L.LstmAutoencoder(2, 4, 2), "kitnet": lambda: L.KitNet(1, 100, 100), "adaptive": lambda: L.AdaptiveSvm(budget=20),
     "anoedge": lambda: L.AnoEdge(16, 16, 2, 1), "streamspot": lambda: L.StreamSpot(32, 1, 3, 20, 2), "adwin": K.Adwin,
 }
 
