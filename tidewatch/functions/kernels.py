@@ -21,6 +21,22 @@ class Kernel:
         raise NotImplementedError
 
 
+class Transformer(Kernel):
+    """A kernel whose answer, transform(row), and whose lesson, learn(row), can be asked for apart."""
+
+    def transform(self, row: tuple) -> tuple:
+        """The row as the state has it; null values before anything is learned."""
+        raise NotImplementedError
+
+    def learn(self, row: tuple) -> None:
+        raise NotImplementedError
+
+    def step(self, row):
+        out = self.transform(row)
+        self.learn(row)
+        return out
+
+
 class PageHinkley(Kernel):
     """Drift by cumulative deviations from the running mean."""
 
@@ -216,7 +232,7 @@ class Lof(Kernel):
         return (sum(o / own for o in others) / self.k,)
 
 
-class IncrementalPca(Kernel):
+class IncrementalPca(Transformer):
     """Leading components by rank-one updates of an eigen system; zeros before n0 rows."""
 
     def __init__(self, n_components=2, n0=50, forgetting_factor=None, tol=1e-7):
@@ -225,16 +241,18 @@ class IncrementalPca(Kernel):
         self.n, self.values, self.vectors = 0, None, None
         self.outputs = ", ".join(f"component_{i} double" for i in range(n_components))
 
-    def step(self, row):
+    def transform(self, row):
+        return tuple((np.array(row, float) @ self.vectors).tolist()) if self.vectors is not None else (0.0,) * self.q
+
+    def learn(self, row):
         x = np.array(row, float)
-        out = tuple((x @ self.vectors).tolist()) if self.vectors is not None else (0.0,) * self.q
         if self.vectors is None:
             self.rows.append(row)
             if len(self.rows) == self.n0:
                 _, s, vt = np.linalg.svd(np.array(self.rows, float), full_matrices=False)
                 self.values, self.vectors = (s**2 / (self.n0 - 1))[: self.q], vt[: self.q].T
                 self.n, self.rows = self.n0, []
-            return out
+            return
         f = self.f if self.f is not None else 1 / self.n
         self.n += 1
         lam, z = (1 - f) * self.values, math.sqrt(f) * x
@@ -249,7 +267,6 @@ class IncrementalPca(Kernel):
         w, u = np.linalg.eigh(np.diag(lam) + np.outer(inside, inside))
         top = np.argsort(-w)[: self.q]
         self.values, self.vectors = w[top], basis @ u[:, top]
-        return out
 
 
 class RandomHistograms(Kernel):

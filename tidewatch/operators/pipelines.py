@@ -1,4 +1,4 @@
-"""Pipelines: a transformer before a detector.
+"""Pipelines: transformers before a detector.
 
 A row is scored as the transformer sees it before learning it, and learned as the
 transformer sees it afterwards, so each feature travels in two columns.
@@ -6,11 +6,21 @@ transformer sees it afterwards, so each feature travels in two columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.kernels import Kernel
+from tidewatch.functions.transforms import Chain
+from tidewatch.operators.fold import fold
 from tidewatch.operators.trees import half_space
-from tidewatch.plans.stream import arrival
+from tidewatch.plans.stream import StreamSpec, arrival
+
+
+def chain(df: DataFrame, spec: StreamSpec, features: list[str], *makers: Callable[[], Kernel]) -> DataFrame:
+    """Adds the outputs of the last of the parts that makers make, one chain of them for each key."""
+    return fold(df, spec, features, lambda: Chain(*[make() for make in makers]))
 
 
 def _extremes(df: DataFrame, features: list[str], bucket: str, order: tuple[str, ...]) -> DataFrame:

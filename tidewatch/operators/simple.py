@@ -30,6 +30,11 @@ def threshold(df: DataFrame, ceiling: dict[str, float] | None = None, floor: dic
     return df.withColumn(out, F.when(test, 1.0).otherwise(0.0))
 
 
+def predict(df: DataFrame, score: str = "score", limit: float = 0.5, out: str = "predicted") -> DataFrame:
+    """1 where the score reaches the limit, else 0; a null score gives null."""
+    return df.withColumn(out, (F.col(score) >= limit).cast("int"))
+
+
 def quantile_threshold(df: DataFrame, spec: StreamSpec, score: str, quantile: float = 0.95, window: int = 1000, out: str = "flag") -> DataFrame:
     """A score against a quantile of the last ones: 1 at or above it, else its share of it."""
     past = spec.past(window)

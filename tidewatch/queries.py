@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import forests as T
 from tidewatch.functions import kernels as K
 from tidewatch.functions import learners as L
+from tidewatch.functions import transforms as X
 from tidewatch.functions.metrics import pr_auc, roc_auc
 from tidewatch.operators import counts, forests, moving, neighbours, pipelines, simple, trees
 from tidewatch.operators.fold import fold
@@ -371,6 +372,11 @@ def stare(spark, sf_dir):
     return out.select("vec_id", rounded())
 
 
+@query("nets_predict", f"SELECT vec_id, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS predicted FROM ({_radius_sql(True)})")
+def nets_predict(spark, sf_dir):
+    return simple.predict(nets(spark, sf_dir)).select("vec_id", "predicted")
+
+
 _RANKED = f"k AS (SELECT vec_id, round(score, 6) AS s, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM ({_KNN}))"
 
 
@@ -522,5 +528,21 @@ def pipe_minmax_hst(spark, sf_dir):
     return pipelines.scaled_half_space(lines(spark, sf_dir), names, LINES_ORDER, "t", **HST).select(*LINE_KEY, rounded())
 
 
+_CHAINS = {
+    "pipe_standard_lof": (["score"], lambda: X.StandardScaler(3), lambda: K.Lof(5, 30)),
+    "pipe_standard_proj_sdo": (["score"], lambda: X.StandardScaler(3), lambda: X.RandomProjection(3, 2, 7), lambda: L.SdoStream(32, 128, neighbours=4)),
+    "pipe_minmax_ipca": (["component_0", "component_1"], lambda: X.MinMaxScaler(3), lambda: K.IncrementalPca(2, 20)),
+}
+
+
+def _chain(columns: list[str], makers: list, spark, sf_dir):
+    rows = unit_features(spark, sf_dir).select(*LINES_ORDER, *_UNIT)
+    return pipelines.chain(rows, LINES, list(_UNIT), *makers).select(*LINE_KEY, *columns)
+
+
+for _name, (_columns, *_makers) in _CHAINS.items():
+    query(_name)(functools.partial(_chain, _columns, _makers))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["mov_avg"](spark, sf_dir)
