@@ -27,6 +27,15 @@ def advance(kernel: Kernel, pdf: pd.DataFrame, features: list[str], outputs: lis
     return pd.concat([pdf, made], axis=1)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys, in as many partitions as the session shuffles to.
+
+    A given number keeps adaptive execution from merging partitions that are small
+    in bytes: a kernel's time grows with rows, so it wants all cores.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fold(df: DataFrame, spec: StreamSpec, features: list[str], make: Callable[[], Kernel]) -> DataFrame:
     """Adds the outputs of one kernel for each key of spec.by.
 
@@ -48,6 +57,8 @@ def fold(df: DataFrame, spec: StreamSpec, features: list[str], make: Callable[[]
 
     keys = [F.col(c) for c in spec.by] or [F.lit(0).alias("_tw_all")]
     clean = df.drop(*names).dropna(subset=features)
+    if spec.by:
+        clean = spread(clean, *spec.by)
     return clean.groupBy(*keys).applyInPandas(run, schema)
 
 
@@ -67,7 +78,7 @@ def ensemble(df: DataFrame, spec: StreamSpec, features: list[str], members: int,
         pdf = pdf.sort_values(list(spec.order), kind="stable").reset_index(drop=True)
         return advance(make(int(key[-1])), pdf, features, ["_out"], learn_first)[[*row, "_out"]]
 
-    each = wide.groupBy(*spec.by, "_member").applyInPandas(run, schema)
+    each = spread(wide, *spec.by, "_member").groupBy(*spec.by, "_member").applyInPandas(run, schema)
     return df.join(each.groupBy(*row).agg(F.avg("_out").alias(out)), row)
 
 
