@@ -133,6 +133,21 @@ def test_quality_folded_model_is_the_network():
         assert score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
 
 
+@pytest.mark.parametrize("word", ["abcdefghij" * 40, "東京都の天気は晴れです" * 9, "aé😀東" * 50 + "z", "x" * 65])
+def test_quality_takes_all_of_a_long_word(monkeypatch, word):
+    p = quality.Params()
+    w = f"<{word}>"
+    grams = [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+    want = sorted(zlib.crc32(x.encode()) & (p.buckets - 1) for x in [word, *grams])
+    assert sorted(quality.features(word.encode(), p).tolist()) == want
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    assert sorted(quality.features(word.encode(), p).tolist()) == want
+    weights = np.arange(p.buckets, dtype=np.float32) / p.buckets
+    assert quality.scorer((weights, 0.25), p)(word) == pytest.approx(1 / (1 + np.exp(-0.25 - weights[want].mean())), abs=1e-6)
+    cache = quality.Words(lambda x: quality.features(x, p))
+    assert len(cache[word.encode()]) == len(want) and not cache
+
+
 def test_quality_edges(awkward, nothing, labels):
     rows = quality.classify_quality(awkward, labels, params=SMALL).collect()
     assert len(rows) == awkward.count() and all(0 <= r.score <= 1 for r in rows)

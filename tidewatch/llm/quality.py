@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import crc_fold, map_rows, small_batches, table
 
-#: Words of this many bytes and more are hashed whole and by their ends only.
+#: N-grams of words of more bytes are hashed by numpy, and such words are not cached.
 LONG_WORD = 64
+#: Characters of a long word that are hashed at once.
+BLOCK = 1 << 16
 #: What a bigram of twice the same word counts for, in features; a word has about as many.
 SAME = 16
 
@@ -48,11 +50,39 @@ class Params:
     most: int = 5
 
 
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, np.uint32(0xEDB88320) ^ (c >> 1), c >> 1)
+    return c
+
+
+CRC = _crc_table()
+
+
+def long_ids(word: bytes, p: Params) -> Iterator[np.ndarray]:
+    """What feature_ids gives, in blocks, with the crc32 of all n-grams of a block taken a byte at a time."""
+    last = p.buckets - 1
+    yield np.array([zlib.crc32(word) & last], np.int64)
+    raw = np.frombuffer(b"<" + word + b">", np.uint8)
+    at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where characters start, and the end
+    for a in range(0, len(at) - p.least, BLOCK):
+        b = min(a + BLOCK, len(at) - p.least)
+        crc = np.full(b - a, 0xFFFFFFFF, np.uint32)
+        for n in range(1, p.most + 1):
+            crc = crc[: len(at) - n - a]
+            starts, ends = at[a + n - 1 : a + n - 1 + len(crc)], at[a + n : a + n + len(crc)]
+            for k in range(int((ends - starts).max(initial=0))):
+                has = starts + k < ends
+                byte = raw[np.minimum(starts + k, len(raw) - 1)]
+                crc = np.where(has, CRC[(crc ^ byte) & 255] ^ (crc >> 8), crc)
+            if n >= p.least:
+                yield (~crc & np.uint32(last)).astype(np.int64)
+
+
 def feature_ids(word: bytes, p: Params) -> list[int]:
     """Rows of the hash table for a word: itself and its character n-grams."""
-    if len(word) > LONG_WORD:
-        parts = [word, b"<" + word[:16], word[-16:] + b">"]
-    elif word.isascii():  # a character is a byte
+    if word.isascii():  # a character is a byte
         w = b"<" + word + b">"
         parts = [word] + [w[i : i + n] for n in range(p.least, p.most + 1) for i in range(len(w) - n + 1)]
     else:
@@ -65,16 +95,20 @@ def feature_ids(word: bytes, p: Params) -> list[int]:
 
 
 def features(word: bytes, p: Params) -> np.ndarray:
+    if len(word) > LONG_WORD:
+        return np.concatenate(list(long_ids(word, p)))
     return np.array(feature_ids(word, p), np.int64)
 
 
 class Words(dict):
-    """Word -> what make(word) gives, in bounded memory."""
+    """Word -> what make(word) gives, in bounded memory; long words are made each time."""
 
     def __init__(self, make, most: int = 150_000):
         self.make, self.most = make, most
 
     def __missing__(self, word: bytes):
+        if len(word) > LONG_WORD:
+            return self.make(word)
         if len(self) >= self.most:
             self.clear()
         self[word] = value = self.make(word)
@@ -155,6 +189,9 @@ def scorer(model: tuple[np.ndarray, float], p: Params):
     numbers = weights.tolist()
 
     def number(word: bytes) -> tuple[float, int]:
+        if len(word) > LONG_WORD:
+            parts = [(float(weights[ids].sum(dtype=float)), len(ids)) for ids in long_ids(word, p)]
+            return sum(x for x, _ in parts), sum(k for _, k in parts)
         ids = feature_ids(word, p)
         return sum([numbers[i] for i in ids]), len(ids)
 
