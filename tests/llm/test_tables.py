@@ -242,6 +242,13 @@ def test_pii_bootstraps_unseen_identifiers(spark):
     assert masked[20] == "please call me at [PHONE] now" and masked[3] == "some words call me at [PHONE] thanks" and masked[22] == rows[-1][1]
 
 
+def test_pii_confidence_counts_documents_without_digits(spark):
+    rows = [(i, f"some words call me at +1 (974) 555-{1000 + i} thanks") for i in range(12)] + [(12, "call me at 974555-9999x now")]
+    rows += [(20 + i, "they look me at home and stay") for i in range(60)]
+    got = {r.doc_id: r.e for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.expr(pii._text_of("every")).alias("e")).collect()}
+    assert got[12] == "" and got[3] == "phone:22:39"
+
+
 def test_pii_edges(awkward, nothing):
     got = pii.find_pii(awkward).collect()
     assert len(got) == awkward.count() and all(not r.every for r in got if r.doc_id in (1, 2, 3))

@@ -5,7 +5,7 @@ They are the seeds: the words that stand before them induce lexical patterns.
 Patterns and the identifier-shaped tokens that follow them form a bipartite
 graph; Spark scores it in rounds: a pattern's confidence is the share of the
 occurrences of its words that stand before a known identifier, counted in all
-documents that hold identifier-shaped tokens, so common words are no pattern; an
+documents, so common words are no pattern; an
 instance's score is one less the product of (1 - confidence) over its confident
 patterns. Tokens that confident patterns vouch for are new spans, with the kind
 of most of the pattern's seeds.
@@ -120,9 +120,8 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """context, total: how often the words of contexts stand in documents with identifier-shaped tokens."""
-    holding = docs.select("text").where(F.col("text").rlike("[0-9@]"))
-    runs = holding.select(F.explode(F.expr(_RUNS)).alias("context"))
+    """context, total: how often the words of contexts stand in all documents."""
+    runs = docs.where("text is not null").select(F.explode(F.expr(_RUNS)).alias("context"))
     return runs.join(contexts.select("context"), "context").groupBy("context").agg(F.count("*").alias("total"))
 
 
