@@ -249,6 +249,23 @@ def test_pii_confidence_counts_documents_without_digits(spark):
     assert got[12] == "" and got[3] == "phone:22:39"
 
 
+def test_pii_finds_identifiers_of_any_shape(spark):
+    rows = [(i, f"please write to ann{i}@mail.example today") for i in range(12)]
+    rows += [(20 + i, f"we saw host address 10.0.0.{i} again") for i in range(12)]
+    rows += [(40 + i, f"or call me at +1 (974) 555-{1000 + i} thanks") for i in range(24)]
+    unseen = {
+        60: ("please write to ann@localhost, then", "email:16:29"), 61: ("please write to ann(at)mail.example", "email:16:35"),
+        62: ("we saw host address fe80::1 again", "ip:20:27"), 63: ("we saw host address 1.2.3.x again", "ip:20:27"),
+        64: ("or call me at 974 555 343, thanks", "phone:14:25"), 65: ("or call me at 5551234 1.2.3.4", "phone:14:21,ip:22:29"),
+        66: ("or call me at (974) 555 343", "phone:15:27"), 67: ("or call me at 974 555 and 343x", "phone:14:21"),
+        68: ("or call me at " + "7" * 80, "phone:14:94"), 69: ("no mark (here) (at all) a (b", ""),
+    }
+    rows += [(i, t) for i, (t, _) in unseen.items()]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.e for r in found.select("doc_id", F.expr(pii._text_of("every")).alias("e")).collect()}
+    assert {i: got[i] for i in unseen} == {i: e for i, (_, e) in unseen.items()}
+
+
 def test_pii_edges(awkward, nothing):
     got = pii.find_pii(awkward).collect()
     assert len(got) == awkward.count() and all(not r.every for r in got if r.doc_id in (1, 2, 3))

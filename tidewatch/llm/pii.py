@@ -38,8 +38,13 @@ PATTERNS = {
 }
 #: What a text must hold for an expression to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Identifier-shaped: a token with four digits or more, or with a digit beside a letter or sign.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Identifier-shaped: groups of digits and signs that single spaces part, or else a token with a digit, @ or (at).
+_GROUP = r"[(+]*+[0-9][0-9().+/-]*+"
+_MARK = r"(?:[0-9@]|\((?i:at)\))"
+TOKEN = (
+    rf"(?<![^\x20\x09-\x0D])(?:{_GROUP}(?:\x20{_GROUP}(?=[,;:!?\x22\x27\]>}}]*+(?![^\x20\x09-\x0D])))++"
+    rf"|[^\x20\x09-\x0D0-9@(]*+(?:\((?!(?i:at)\))[^\x20\x09-\x0D0-9@(]*+)*+{_MARK}[^\x20\x09-\x0D]*+)"
+)
 SPAN = "struct<start:bigint,kind:int,end:bigint,text:string>"
 
 
@@ -47,12 +52,12 @@ def _lit(s: str) -> str:
     return "r'" + s + "'" if "'" not in s else 'r"' + s + '"'
 
 
-def _matches(kind: int, pattern: str, keep: str) -> str:
-    """Spans of all matches of a pattern in text that pass keep, an expression on x.text."""
+def _matches(kind: int, pattern: str, keep: str, text: str = "text") -> str:
+    """Spans of all matches of a pattern in a text column that pass keep, an expression on x.text."""
     p = _lit(pattern)
     return f"""filter(aggregate(
-      zip_with(slice(split(text, {p}, -1), 1, greatest(size(regexp_extract_all(text, {p}, 0)), 0)),
-               regexp_extract_all(text, {p}, 0), (g, m) -> named_struct('g', g, 'm', m)),
+      zip_with(slice(split({text}, {p}, -1), 1, greatest(size(regexp_extract_all({text}, {p}, 0)), 0)),
+               regexp_extract_all({text}, {p}, 0), (g, m) -> named_struct('g', g, 'm', m)),
       named_struct('at', 0L, 'out', cast(array() as array<{SPAN}>)),
       (acc, x) -> named_struct(
         'at', acc.at + char_length(x.g) + char_length(x.m),
@@ -83,18 +88,26 @@ def base_spans() -> Column:
     return F.expr(f"array_sort(concat({', '.join(parts)}))")
 
 
+#: The text with a letter for each character of its base spans, so that no group of digits goes on into one.
+_PLAIN = """if(size(base) = 0, text, aggregate(base, named_struct('at', 0L, 'out', ''),
+    (acc, x) -> if(x.end <= acc.at, acc, named_struct('at', x.end, 'out', concat(acc.out,
+        substring(text, cast(acc.at + 1 as int), cast(greatest(x.start - acc.at, 0) as int)),
+        repeat('x', cast(x.end - greatest(x.start, acc.at) as int))))),
+    acc -> concat(acc.out, substring(text, cast(acc.at + 1 as int)))))"""
+
+
 def candidates() -> Column:
-    """Identifier-shaped tokens of text outside its base spans, without outer punctuation."""
-    raw = _matches(-1, TOKEN, "true")
+    """Identifier-shaped parts of text outside its base spans (plain: text without those), without outer punctuation."""
+    raw = _matches(-1, TOKEN, "true", "plain")
     trimmed = r"""transform(raw, x -> named_struct(
         'start', x.start + char_length(regexp_extract(x.text, r'^([("\x27\[<{,;:=]*)', 1)),
         'kind', -1,
         'end', x.end - char_length(regexp_extract(x.text, r'([)"\x27\]>},;:.!?%&*$#]*)$', 1)),
         'text', regexp_replace(x.text, r'^[("\x27\[<{,;:=]+|[)"\x27\]>},;:.!?%&*$#]+$', '')))"""
-    shape = r"length(regexp_replace(x.text, r'[^0-9]', '')) >= 4 and char_length(x.text) between 6 and 64"
+    shape = f"x.text rlike r'{_MARK}'"
     apart = "not exists(base, b -> b.start < x.end and x.start < b.end)"
     made = f"filter({trimmed}, x -> {shape} and {apart})".replace("transform(raw,", f"transform({raw},")
-    return F.expr(f"if(text rlike '[0-9]', {made}, {_NONE})")
+    return F.expr(f"if(plain rlike r'{_MARK}', {made}, {_NONE})")
 
 
 #: The last two words before a position on its line, in lower case and with digits as 0.
@@ -111,7 +124,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of the whole row), base spans, and found: spans and candidates with contexts."""
     one = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     one = one.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("base", base_spans())
-    one = one.withColumn("more", candidates())
+    one = one.withColumn("plain", F.expr(_PLAIN)).withColumn("more", candidates())
     found = f"transform(concat(base, more), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end, 'value', lower(x.text), 'context', {CONTEXT}))"
     return one.select(
         "doc_id", "row", F.expr("transform(base, x -> struct(x.start, x.kind, x.end))").alias("base"),
