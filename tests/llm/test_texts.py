@@ -1,9 +1,12 @@
 """Secrets, quality, rules, decontamination, languages and tokens."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import io
 import re
+import tarfile
 import urllib.parse
 import zlib
 
@@ -70,6 +73,30 @@ def test_exact_place_of_a_base64_hit():
     assert hit[0] == 4 * (start // 3) + start % 3 and plain[start:-3] in base64.b64decode(code[hit[0] // 4 * 4 : -(-hit[1] // 4) * 4]).decode()
 
 
+def tar(text):
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w:gz") as t:
+        info = tarfile.TarInfo("a.txt")
+        info.size = len(text.encode())
+        t.addfile(info, io.BytesIO(text.encode()))
+    return buffer.getvalue()
+
+
+@pytest.mark.parametrize(
+    "pack",
+    [
+        *[lambda s, c=c: f"say{c} {s}".encode() for c in ("\u00a0", "\u200b", "\u3000", "\ufeff", "\0", "\f", "\x1b")],
+        lambda s: s.encode("utf-16"), lambda s: s.encode("utf-16-le"), lambda s: b"x" + s.encode("utf-16-le"), lambda s: s.encode("utf-16-be"),
+        lambda s: b"\xff\xfe\xfd" + s.encode(), lambda s: gzip.compress(s.encode("utf-16"), mtime=0), tar, lambda s: b"xx" + tar(s) + gzip.compress(b"z"),
+        lambda s: gzip.compress(base64.b64encode(f"\u3000{s}".encode()) + b"\0\xff", mtime=0), lambda s: gzip.compress(b"\0\xff" + bz2.compress(s.encode())),
+    ],
+)
+def test_layers_of_any_characters_are_scanned(pack):
+    inner = base64.b64encode(pack("password = Zz9-unseen-value")).decode()
+    hits = [(a, b) for a, b, k in secrets.find(f"é {inner} end")["spans"] if k == "assign"]
+    assert hits and all(2 <= a < b <= 2 + len(inner) for a, b in hits)
+
+
 def test_cycles_and_bombs_end():
     loop = "%2525252541" * 3
     assert secrets.find(loop)["n_layers"] < 20

@@ -1,7 +1,8 @@
 """Secret scans: a worklist that unwraps nested encodings and rescans each layer.
 
 Every text is layer 0. Percent escapes, Unicode escapes, base64 runs and
-compressed payloads in a layer make further layers until none is new; a layer
+compressed payloads in a layer make further layers until none is new, whatever
+characters they hold (UTF-8, else Latin-1, and UTF-16 if there are NULs); a layer
 that was seen before (same content at the same place) is not entered again, so
 self-reproducing payloads end. Every layer carries, for each of its characters,
 the span of the original text that it came from, so a hit in any depth is
@@ -40,6 +41,11 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
+#: How gzip, zlib (without a dictionary), bzip2 and xz begin.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+#: Compressed bytes that are inflated at once.
+CHUNK = 1 << 16
+
 Span = tuple[int, int, str]
 
 
@@ -129,36 +135,70 @@ class TooLarge(Exception):
     pass
 
 
-def _inflate(raw: bytes, limit: int) -> bytes | None:
-    """One compressed layer less; None if raw is in no known format."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0):
+def _inflate(raw: bytes, at: int, limit: int) -> tuple[bytes, int]:
+    """What the compressed payload at a magic number holds, and where it ends; nothing if it is none."""
+    if raw[at] in b"\x1f\x78":
         decoder = zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
-        decoder = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        decoder = lzma.LZMADecompressor()
     else:
-        return None
+        decoder = bz2.BZ2Decompressor() if raw[at] == 0x42 else lzma.LZMADecompressor()
+    out, size, end = [], 0, at
     try:
-        out = decoder.decompress(raw, limit + 1)
+        while end < len(raw) and not decoder.eof:
+            out.append(decoder.decompress(raw[end : end + CHUNK], limit + 1 - size))
+            end, size = min(end + CHUNK, len(raw)), size + len(out[-1])
+            if size > limit:
+                raise TooLarge
+        end -= len(decoder.unused_data)
     except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    if len(out) > limit:
-        raise TooLarge
-    return out or None
+        end = at + 1  # what came before the error stays
+    return b"".join(out), end
+
+
+def _unpacked(raw: bytes, limit: int) -> tuple[list[bytes], int]:
+    """All that compressed payloads in raw hold, at any depth, and how many were too large."""
+    out, seen, work, skipped = [], {raw}, [raw], 0
+    while work:
+        packed, at = work.pop(), 0
+        while m := MAGIC.search(packed, at):
+            try:
+                less, at = _inflate(packed, m.start(), limit)
+            except TooLarge:
+                skipped += 1
+                at = m.start() + 1
+                continue
+            if less and less not in seen:
+                seen.add(less)
+                out.append(less)
+                work.append(less)
+    return out, skipped
 
 
-def _plain(raw: bytes) -> str | None:
-    """raw as text if it is clean UTF-8 text."""
+def _texts(raw: bytes) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """raw as text, and the first and last byte of each character: UTF-8, else Latin-1; with a NUL, UTF-16 too."""
+    at = np.arange(len(raw))
     try:
         text = raw.decode()
+        first = at if len(text) == len(raw) else np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        text, first = raw.decode("latin-1"), at
+    out = [(text, first, np.append(first[1:], len(raw)) - 1)]
+    for a in (0, 1) if b"\0" in raw or raw[:2] in (b"\xff\xfe", b"\xfe\xff") else ():
+        for code in ("utf-16-le", "utf-16-be"):
+            text = raw[a : a + (len(raw) - a) // 2 * 2].decode(code, "replace")
+            wide = np.fromiter((2 if c > "\uffff" else 1 for c in text), np.int64, len(text))
+            last = a + 2 * np.cumsum(wide) - 1
+            out.append((text, last - 2 * wide + 1, last))
+    return out
+
 
+def _matters(text: str) -> bool:
+    """Whether a text has spans or may have layers."""
+    return "%" in text or "\\" in text or BASE64.search(text) is not None or bool(scan(text))
 
-def _base64(layer: Layer, limit: int) -> tuple[list[Layer], int]:
-    out, skipped = [], 0
+
+def _base64(layer: Layer, limit: int) -> tuple[list[Layer], int, int]:
+    """Layers of base64 runs, how many more have nothing in them, and how many payloads were too large."""
+    out, bare, skipped = [], 0, 0
     for m in BASE64.finditer(layer.text):
         body = m[0].rstrip("=")
         if len(body) % 4 == 1:
@@ -167,31 +207,24 @@ def _base64(layer: Layer, limit: int) -> tuple[list[Layer], int]:
             raw = base64.urlsafe_b64decode((body + "=" * (-len(body) % 4)).replace("+", "-").replace("/", "_"))
         except (binascii.Error, ValueError):
             continue
-        packed, seen = raw, {raw}
-        try:
-            while (less := _inflate(packed, limit)) is not None and less not in seen:
-                packed = less
-                seen.add(less)
-        except TooLarge:
-            skipped += 1
-            continue
-        text = _plain(packed)
-        if not text:
-            continue
-        if packed is not raw:
+        for text, first, last in _texts(raw):
+            if not _matters(text):
+                bare += 1
+                continue
+            s = m.start() + 4 * (first // 3) + first % 3
+            e = np.minimum(m.start() + 4 * (last // 3) + last % 3 + 2, m.end())
+            if layer.starts is not None:
+                s, e = layer.starts[s], layer.ends[e - 1]
+            out.append(Layer(text, s, e))
+        packed, over = _unpacked(raw, limit)
+        skipped += over
+        for text in (t for p in packed for t, _, _ in _texts(p)):
+            if not _matters(text):
+                bare += 1
+                continue
             a, b = layer.place(m.start(), m.end())
-            n = len(text)
-            out.append(Layer(text, np.full(n, a), np.full(n, b)))
-            continue
-        sizes = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
-        last = np.cumsum(sizes) - 1
-        first = last - sizes + 1
-        s = m.start() + 4 * (first // 3) + first % 3
-        e = np.minimum(m.start() + 4 * (last // 3) + last % 3 + 2, m.end())
-        if layer.starts is not None:
-            s, e = layer.starts[s], layer.ends[e - 1]
-        out.append(Layer(text, s, e))
-    return out, skipped
+            out.append(Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text))))
+    return out, bare, skipped
 
 
 def find(text: str | None, max_layer_bytes: int = 64 << 20) -> dict:
@@ -211,7 +244,8 @@ def find(text: str | None, max_layer_bytes: int = 64 << 20) -> dict:
             new.append(_rewritten(layer, PERCENT, _percent))
         if "\\" in layer.text:
             new.append(_rewritten(layer, ESCAPE, _escape))
-        made, over = _base64(layer, max_layer_bytes)
+        made, bare, over = _base64(layer, max_layer_bytes)
+        layers += bare
         skipped += over
         for child in [*new, *made]:
             if child is None or not child.text:
