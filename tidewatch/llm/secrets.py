@@ -17,7 +17,6 @@ expanded in memory: its place is counted in ``n_unscanned``.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
@@ -39,7 +38,17 @@ KEYWORDS = ("passw", "secret", "token", "api")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run of 16 or more, or runs that a line break and indentation part.
+BASE64 = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=\r?\n[ \t]*+[A-Za-z0-9+/_-]))"
+    r"(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}"
+)
+#: Not base64 but line breaks, indentation and padding.
+BETWEEN = b"\r\n\t ="
+IN_BODY = ~np.isin(np.arange(256), list(BETWEEN))
+URLSAFE = bytes.maketrans(b"+/", b"-_")
+#: A run on one line of joined ones.
+LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 #: How gzip, zlib (without a dictionary), bzip2 and xz begin.
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
@@ -196,23 +205,24 @@ def _matters(text: str) -> bool:
     return "%" in text or "\\" in text or BASE64.search(text) is not None or bool(scan(text))
 
 
-def _base64(layer: Layer, limit: int) -> tuple[list[Layer], int, int]:
-    """Layers of base64 runs, how many more have nothing in them, and how many payloads were too large."""
+def _decoded(layer: Layer, start: int, end: int, limit: int) -> tuple[list[Layer], int, int]:
+    """Layers of a base64 run in all four phases, how many more have nothing in them, payloads that were too large."""
     out, bare, skipped = [], 0, 0
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            raw = base64.urlsafe_b64decode((body + "=" * (-len(body) % 4)).replace("+", "-").replace("/", "_"))
-        except (binascii.Error, ValueError):
-            continue
+    run = layer.text[start:end].encode()
+    body = run.translate(URLSAFE, BETWEEN)
+    if len(body) < 16:
+        return out, bare, skipped
+    at = start + np.flatnonzero(IN_BODY[np.frombuffer(run, np.uint8)])
+    for phase in range(4):
+        n = len(body) - phase
+        part = body[phase : phase + n - (n % 4 == 1)]
+        raw = base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4))
         for text, first, last in _texts(raw):
             if not _matters(text):
                 bare += 1
                 continue
-            s = m.start() + 4 * (first // 3) + first % 3
-            e = np.minimum(m.start() + 4 * (last // 3) + last % 3 + 2, m.end())
+            s = at[phase + 4 * (first // 3) + first % 3]
+            e = at[phase + 4 * (last // 3) + last % 3 + 1] + 1
             if layer.starts is not None:
                 s, e = layer.starts[s], layer.ends[e - 1]
             out.append(Layer(text, s, e))
@@ -222,11 +232,27 @@ def _base64(layer: Layer, limit: int) -> tuple[list[Layer], int, int]:
             if not _matters(text):
                 bare += 1
                 continue
-            a, b = layer.place(m.start(), m.end())
+            a, b = layer.place(start, end)
             out.append(Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text))))
     return out, bare, skipped
 
 
+def _base64(layer: Layer, limit: int) -> tuple[list[Layer], int, int]:
+    """_decoded of all runs: joined over line breaks, and each long line of these by itself."""
+    out, bare, skipped = [], 0, 0
+    for m in BASE64.finditer(layer.text):
+        made, empty, over = _decoded(layer, m.start(), m.end(), limit)
+        out += made
+        bare += empty
+        skipped += over
+        if "\n" in m[0]:
+            for line in LINE.finditer(layer.text, m.start(), m.end()):
+                made, empty, _ = _decoded(layer, line.start(), line.end(), limit)
+                out += made
+                bare += empty
+    return out, bare, skipped
+
+
 def find(text: str | None, max_layer_bytes: int = 64 << 20) -> dict:
     """base: spans of the text itself; spans: with those of every decoded layer."""
     text = text or ""
