@@ -312,6 +312,18 @@ def test_remove(spark, benchmark, words):
     assert cut[0] == "x  y" and cut[5] == "clean text of other words" and cut[6] is None and cut[2] == "a  and "
 
 
+def test_blocks_give_the_rows_of_one_broadcast(spark, awkward, benchmark):
+    bad = "alpha beta gamma delta epsilon zeta eta theta iota"
+    ids = [(None, bad), (None, "one two three four five six seven eight nine"), (30, bad), (30, bad), (30, "other " + bad), (30, "short item"),
+           (None, "short item"), (31, bad[:-5] + " ninth"), (30, "kappa lambda mu nu xi omicron pi rho")]
+    docs = awkward.unionByName(spark.createDataFrame(ids, "doc_id long, text string"), allowMissingColumns=True)
+    flat = lambda df: sorted(str(r) for r in df.collect())
+    one, blocks = (decontaminate.scan(docs, benchmark, broadcast_words=n) for n in (4_000_000, 10))
+    assert blocks.columns == one.columns and one.count() == docs.count() and flat(blocks) == flat(one)
+    one, blocks = (decontaminate.remove(docs, benchmark, broadcast_words=n) for n in (4_000_000, 10))
+    assert blocks.columns == docs.columns and one.count() == docs.count() - 6 and flat(blocks) == flat(one)
+
+
 def test_decontaminate_edges(awkward, nothing, benchmark):
     got = decontaminate.digest(decontaminate.scan(awkward, benchmark)).collect()
     assert len(got) == awkward.count() and all(r.n_items == 0 for r in got)

@@ -5,7 +5,8 @@ with fewer words, but some, is one window. A document's words are hashed once,
 window hashes are looked up in the benchmark's sorted hash set, and each hit is
 verified word for word. The set is broadcast only if the benchmark's words fit
 ``broadcast_words``; a larger benchmark is scanned for in blocks of that size,
-dealt by item, whose results are merged per document.
+dealt by item, whose results are merged by id and text; as equal rows have equal
+results, each row of the input keeps its own either way.
 
 Defined results: null, empty and wordless texts have no words and no hits; an
 item with a null id can hit words but is not listed; repeated items count once;
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import map_rows, small_batches, table
@@ -97,11 +98,11 @@ def _row(index: Broadcast) -> Callable:
     def make():
         hashes, known = Hashes(), index.value
 
-        def row(doc_id, text):
+        def row(doc_id, text, *key):
             words = words_of(text)
             spans, items = known.hits(words, hashes) if words else ([], set())
             hits = [{"start": a, "end": b} for a, b in spans]
-            return doc_id, len(words), hits, sorted(str(x) for x in items if x is not None)
+            return doc_id, len(words), hits, sorted(str(x) for x in items if x is not None), *key
 
         return row
 
@@ -116,24 +117,30 @@ def scan(
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_words, hits (merged intervals of word positions), items (ids as sorted text)."""
-    spark = docs.sparkSession
     rows = docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text")
     bench = benchmark.select("item_id", "text").distinct()
     blocks = _blocks_of(bench, broadcast_words)
-    if blocks > 1:
-        bench = bench.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    if blocks == 1:
+        return _against(rows, bench, size, SCANNED)
+    merged = _in_blocks(rows, bench, size, blocks)
+    return merged.withColumn("_row", F.explode(F.sequence(F.lit(1), "n_rows"))).select("doc_id", "n_words", "hits", "items")
 
-    def against(items: list) -> DataFrame:
-        return map_rows(rows, _row(spark.sparkContext.broadcast(Index(items, size))), SCANNED)
 
-    if blocks == 1:
-        return against([tuple(r) for r in bench.select("item_id", "text").collect()])
-    return _merged(
-        [
-            against([tuple(r) for r in bench.where(F.col("_block") == k).select("item_id", "text").collect()])
-            for k in range(blocks)
-        ]
-    )
+def _against(rows: DataFrame, bench: DataFrame, size: int, schema: str) -> DataFrame:
+    index = Index([tuple(r) for r in bench.select("item_id", "text").collect()], size)
+    return map_rows(rows, _row(rows.sparkSession.sparkContext.broadcast(index)), schema)
+
+
+def _key(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def _in_blocks(rows: DataFrame, bench: DataFrame, size: int, blocks: int) -> DataFrame:
+    """Merged results of an id and a text, the text's key, and n_rows: the rows of the input that have both."""
+    bench = bench.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    keyed = rows.withColumn("key", _key("text"))
+    parts = [_against(keyed, bench.where(F.col("_block") == k), size, SCANNED + ", key string") for k in range(blocks)]
+    return _merged(parts)
 
 
 def _blocks_of(bench: DataFrame, broadcast_words: int) -> int:
@@ -143,22 +150,19 @@ def _blocks_of(bench: DataFrame, broadcast_words: int) -> int:
 
 
 def _merged(parts: list[DataFrame]) -> DataFrame:
-    """Results of blocks as one: hits and items of a document are united.
-
-    Rows that repeat a doc_id with the same number of words keep one result each
-    if their ids are unique; repeats of an id are united.
-    """
+    """Results of blocks as one: hits and items of an id and a text are united; each part has every row once."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    united = """aggregate(array_sort(flatten(collect_list(hits))), cast(array() as array<struct<start:long,end:long>>),
+    united = """aggregate(array_sort(flatten(collect_set(hits))), cast(array() as array<struct<start:long,end:long>>),
         (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).end >= x.start,
             concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start,
                 'end', greatest(element_at(acc, -1).end, x.end)))),
             concat(acc, array(x))))"""
-    return every.groupBy("doc_id", "n_words").agg(
+    return every.groupBy("doc_id", "key", "n_words").agg(
+        (F.count("*") / len(parts)).cast("int").alias("n_rows"),
         F.expr(united).alias("hits"),
-        F.expr("array_sort(array_distinct(flatten(collect_list(items))))").alias("items"),
+        F.expr("array_sort(array_distinct(flatten(collect_set(items))))").alias("items"),
     )
 
 
@@ -177,13 +181,14 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = 8, broadcast_words
     """docs without the rows of which benchmark windows hit ``size`` consecutive words or more.
 
     Items shorter than a window can't remove a document by themselves. A benchmark
-    that is broadcast filters rows where they are; one in blocks by an anti-join.
+    that is broadcast filters rows where they are; one in blocks by an anti-join on
+    the text's key, so both decide by the row's own text.
     """
     bench = benchmark.select("item_id", "text").distinct()
-    if _blocks_of(bench, broadcast_words) > 1:
-        hit = scan(docs, bench, size, broadcast_words).where(F.exists("hits", lambda h: h["end"] - h["start"] >= size))
-        hit = hit.select(F.col("doc_id").alias("_tw_bad")).distinct()
-        return docs.join(hit, F.col("doc_id") == F.col("_tw_bad"), "left_anti")
+    if (blocks := _blocks_of(bench, broadcast_words)) > 1:
+        found = _in_blocks(docs.select("doc_id", "text"), bench, size, blocks)
+        hit = found.where(F.exists("hits", lambda h: h["end"] - h["start"] >= size)).select(F.col("key").alias("_tw_bad")).distinct()
+        return docs.join(hit, _key("text") == F.col("_tw_bad"), "left_anti")
     index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in bench.collect()], size))
     small_batches(docs.sparkSession)
 
