@@ -10,6 +10,7 @@ import pytest
 
 from tidewatch import queries as Q
 from tidewatch.functions import kernels as K
+from tidewatch.functions import learners as L
 from tidewatch.functions.metrics import pr_auc, roc_auc
 from tidewatch.operators import counts, simple, trees
 from tidewatch.operators.fold import fold
@@ -200,3 +201,22 @@ def test_queries_match_their_sql(spark, name):
     want = [tuple(normal(r[rel.columns.index(c)]) for c in cols) for r in rel.fetchall()]
     key = lambda r: tuple((x is None, x if x is not None else 0) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_graph_streams_keep_one_state(spark):
+    rows = spark.read.parquet(f"{DATA}/events.parquet").orderBy("ts", "event_id").collect()
+    code = {t: float(i) for i, t in enumerate(("click", "error", "purchase", "scroll", "view"), 1)}
+    kernel, last, want = L.StreamSpot(64, 2, 4, 4096, 4), {}, {}
+    for r in rows:
+        if r.user_id is not None:
+            c = code.get(r.event_type, 0.0)
+            want[r.event_id] = kernel.step((float(r.user_id), c, last.get(r.user_id, 0.0)))[0]
+            last[r.user_id] = c
+    got = {r.event_id: r.score for r in Q.QUERIES["streamspot"](spark, DATA).collect()}
+    assert got == pytest.approx(want)
+    rows = Q.lines(spark, DATA).orderBy(*Q.LINES_ORDER).collect()
+    kernel = L.AnoEdge(32, 32, 2, 1)
+    want = {tuple(r[c] for c in Q.LINE_KEY): kernel.step((r.l_partkey, r.l_suppkey, r.t))[0] for r in rows}
+    got = {tuple(r[c] for c in Q.LINE_KEY): r.score for r in Q.QUERIES["anoedge"](spark, DATA).collect()}
+    assert got == pytest.approx(want)

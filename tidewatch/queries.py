@@ -502,23 +502,21 @@ def online_iforest(spark, sf_dir):
 
 @query("anoedge")
 def anoedge(spark, sf_dir):
-    """One chain of matrices for each year, as the state is global to a stream."""
-    rows = lines(spark, sf_dir).withColumn("year", F.year("l_shipdate"))
-    spec = StreamSpec(LINES_ORDER, ("year",))
-    rows = rows.select(*LINES_ORDER, "year", "t")
-    return fold(rows, spec, ["l_partkey", "l_suppkey", "t"], lambda: L.AnoEdge(32, 32, 2, 1)).select(*LINE_KEY, "score")
+    """One chain of matrices for the whole stream."""
+    rows = lines(spark, sf_dir).select(*LINES_ORDER, "t")
+    return fold(rows, StreamSpec(LINES_ORDER), ["l_partkey", "l_suppkey", "t"], lambda: L.AnoEdge(32, 32, 2, 1)).select(*LINE_KEY, "score")
 
 
 @query("streamspot")
 def streamspot(spark, sf_dir):
-    """Graphs are users, edges successive event types; one set of clusters for each residue of the user."""
+    """Graphs are users, edges successive event types; one set of clusters and of graphs for the whole stream."""
     types = F.array(*[F.lit(x) for x in ("click", "error", "purchase", "scroll", "view")])
     code = F.coalesce(F.array_position(types, F.col("event_type")), F.lit(0)).cast("double")
     rows = table(spark, sf_dir, "events").withColumn("code", code)
-    rows = rows.withColumn("next", F.lag("code", 1, 0.0).over(EVENTS.ordered())).withColumn("part", F.col("user_id") % 16)
-    rows = rows.select("event_id", "ts", "part", F.col("user_id").cast("double").alias("graph"), "code", "next")
-    spec = StreamSpec(("ts", "event_id"), ("part",))
-    return fold(rows, spec, ["graph", "code", "next"], lambda: L.StreamSpot(64, 2, 4, 64, 4)).select("event_id", "score")
+    rows = rows.withColumn("next", F.lag("code", 1, 0.0).over(EVENTS.ordered()))
+    rows = rows.select("event_id", "ts", F.col("user_id").cast("double").alias("graph"), "code", "next")
+    spec = StreamSpec(EVENTS.order)
+    return fold(rows, spec, ["graph", "code", "next"], lambda: L.StreamSpot(64, 2, 4, 4096, 4)).select("event_id", "score")
 
 
 @query("pipe_minmax_hst")
