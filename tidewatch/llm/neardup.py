@@ -9,17 +9,25 @@ share no table with a probability of at most ``miss``.
 Documents with equal shingle sets form a class at once; one row of each class
 goes on. Each bucket sends its members to a centre, pairs are confirmed on full
 shingle sets, and components are formed. A bucket whose members then lie in
-several components goes on: in blocks of bounded size, members of different
-components are compared by an upper bound of their similarity that loses no
-link, and what passes is confirmed in turn. No step emits all pairs of a bucket.
+several components goes on: members of different components are compared by an
+upper bound of their similarity that loses no link, and those that it joins form
+a clump, each named by one row. Clumps that share members are united, and each
+brings the texts of its members together once: there, full sets confirm links,
+and only links that join two components are emitted, so a clump gives fewer
+links than it has members. Comparisons run in blocks of bounded size inside
+tasks; a group larger than a block is dealt over pairs of blocks. No step emits
+the pairs of a bucket or a clump.
 
 Shingle sets are compared as sets of 64-bit hashes.
 
 Defined results: a null, empty or wordless text has no shingles and is linked
-with nothing; a text with fewer words than a shingle is one shingle; a row with
-a null id is its own document, without component, and is kept; rows that repeat
-an id are placed by their own texts; other columns are ignored by the query and
-kept by ``deduplicate``.
+with nothing; a text with fewer words than a shingle is one shingle; a very long
+text is taken whole, with a sketch in proportion to its length; a row with a null
+id is its own document, without component, and is kept. An id is one document:
+rows that repeat it with different texts link what any of these texts is similar
+to, and each row is counted by its own text. Equal texts of different ids are
+linked; ties in size change nothing. An empty table gives no rows. Other columns,
+whatever their names, are ignored by the query and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -44,7 +52,6 @@ class Params:
     rows: int = 2
     miss: float = 1e-5
     seed: int = 5
-    bins: int = 128
     block: int = 1500
 
     @property
@@ -110,7 +117,8 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 keys = _mix(keys ^ lows[k::p.rows])
             digest = xxhash.xxh3_128_digest(s.tobytes())
             h1, h2 = np.frombuffer(digest, np.int64)
-            counts = np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64) % p.bins, minlength=p.bins), 65535)
+            width = max(7, len(s).bit_length() - 2)  # bits: 128 bins, and 4 to 8 shingles a bin in larger sets
+            counts = np.bincount((s >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width)
             return doc_id, len(s), int(h1), int(h2), keys.view(np.int64).tolist(), counts.astype(np.uint16).tobytes()
 
         return row
@@ -121,16 +129,8 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b), written, whose full shingle sets are similar enough.
-
-    Only texts that pairs name are shuffled: a Bloom filter of their ids is pushed
-    below the exchange. It needs a written table with a predicate to start from.
-    """
-    ids = scratch.keep(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
-    ids = ids.where(F.col("_id") >= -(1 << 63))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    with settings(docs.sparkSession, BLOOM):
-        texts = scratch.keep(texts)
+    """The pairs (a, b), written, whose full shingle sets are similar enough."""
+    texts = texts_of(docs, pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), scratch)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -171,38 +171,39 @@ def _close(a: str, b: str, p: Params) -> str:
     return f"100 * least({a}, {b}) >= {p.percent} * greatest({a}, {b})"
 
 
-def _blocks(open_: DataFrame, p: Params) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket whose upper bound passes.
+def _dealt(rows: DataFrame, group: str, weight: str, most: int, scratch: Scratch) -> DataFrame:
+    """rows (group, rep, component, ...) of groups with several components, with side, p and q.
 
-    open_: key, rep, n, bins, component, size (of the bucket). Buckets are cut into
-    blocks of about p.block members; each pair of blocks is a group.
+    Members of different components shall meet in a common (group, p, q). A group
+    whose weights sum to ``most`` or less meets whole. A larger one is cut into
+    sides of about that weight: the largest component into inner sides, which
+    never meet each other, and the rest into outer sides, which meet every side.
+    So a member of the largest component is repeated once for each outer side
+    only, and one without other components in its group isn't repeated at all.
     """
-    cut = F.ceil(F.col("size") / p.block)
-    dealt = open_.withColumn("cuts", cut).withColumn("x", F.pmod(F.xxhash64("rep"), F.col("cuts")))
-    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0L, cuts - 1)")))
-    dealt = dealt.select(
-        "key", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "x", "rep", "n", "bins", "component"
+    per = rows.groupBy(group, "component").agg(F.sum(F.expr(weight)).alias("w"))
+    sums = per.groupBy(group).agg(
+        F.max(F.struct("w", "component")).alias("top"), F.sum("w").alias("all"), F.count("*").alias("parts")
     )
+    whole = F.col("all") <= most
+    sums = scratch.keep(
+        sums.where("parts > 1").select(
+            group, F.col("top.component").alias("top"),
+            F.when(whole, 1).otherwise(F.ceil((F.col("all") - F.col("top.w")) / most)).cast("long").alias("outer"),
+            F.when(whole, 0).otherwise(F.ceil(F.col("top.w") / most)).cast("long").alias("inner"),
+        )
+    )
+    inside = (F.col("component") == F.col("top")) & (F.col("inner") > 0)
+    side = F.when(inside, F.col("outer") + F.pmod(F.xxhash64("rep"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("outer")))
+    meets = F.when(inside, F.expr("sequence(0L, outer - 1)")).otherwise(F.expr("sequence(0L, outer + inner - 1)"))
+    dealt = rows.join(sums, group).withColumn("side", side).withColumn("_with", F.explode(meets))
+    return dealt.withColumn("p", F.least("side", "_with")).withColumn("q", F.greatest("side", "_with")).drop("top", "outer", "inner", "_with")
 
-    def compare(cross: bool, group: dict) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((group["rep"], group["n"]))
-        n, rep, comp, side = (group[c][order] for c in ("n", "rep", "component", "x"))
-        bins = np.frombuffer(b"".join(group["bins"][order]), np.uint16).reshape(len(order), -1)
-        out_a, out_b = [], []
-        for i in range(len(n)):
-            last = np.searchsorted(n, n[i] * 100 // p.percent, "right")
-            j = np.arange(i + 1, last)
-            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) if cross else True)]
-            if not len(j):
-                continue
-            most = np.minimum(bins[j], bins[i]).sum(1, dtype=np.int64)
-            j = j[100 * most >= p.percent * (n[j] + n[i] - most)]
-            out_a.append(np.minimum(rep[i], rep[j]))
-            out_b.append(np.maximum(rep[i], rep[j]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
 
-    names = ("key", "p", "q", "x", "rep", "n", "bins", "component")
+def _grouped(rows: DataFrame, group: str, columns: tuple[str, ...], work, schema: str) -> DataFrame:
+    """work(columns of a group, crossing) for each (group, p, q); crossing: only members of different sides meet."""
+    names = (group, "p", "q", "side", *columns)
+    first, second = (x.split()[0] for x in schema.split(", "))
 
     def groups(batches):
         """Sorted rows, cut where the group changes; a group may span batches."""
@@ -212,14 +213,14 @@ def _blocks(open_: DataFrame, p: Params) -> DataFrame:
             return {c: np.concatenate([part[c] for part in parts]) for c in names}
 
         for batch in batches:
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            change = np.zeros(len(rows["key"]) - 1, bool)
-            for c in ("key", "p", "q"):
-                change |= rows[c][1:] != rows[c][:-1]
-            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(rows["key"])]
+            got = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            change = np.zeros(len(got[group]) - 1, bool)
+            for c in names[:3]:
+                change |= got[c][1:] != got[c][:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(got[group])]
             for a, b in zip(edges[:-1], edges[1:]):
-                part = {c: rows[c][a:b] for c in names}
-                if rest and any(rest[0][c][0] != part[c][0] for c in ("key", "p", "q")):
+                part = {c: got[c][a:b] for c in names}
+                if rest and any(rest[0][c][0] != part[c][0] for c in names[:3]):
                     yield joined(rest)
                     rest = []
                 rest.append(part)
@@ -227,13 +228,103 @@ def _blocks(open_: DataFrame, p: Params) -> DataFrame:
             yield joined(rest)
 
     def run(batches):
-        for group in groups(x for x in batches if x.num_rows):
-            a, b = compare(group["p"][0] != group["q"][0], group)
+        for one in groups(x for x in batches if x.num_rows):
+            a, b = work(one, one["p"][0] != one["q"][0])
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    sorted_ = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=[first, second])
+
+    sorted_ = rows.select(*names).repartition(group, "p", "q").sortWithinPartitions(group, "p", "q")
+    return sorted_.mapInArrow(run, schema)
+
+
+def _meetings(root: np.ndarray, side: np.ndarray, n: np.ndarray, i: int, p: Params, crossing: bool) -> tuple[np.ndarray, int]:
+    """Members after i, by size, that it may be linked with and isn't yet, and the first one beyond its sizes."""
+    last = int(np.searchsorted(n, n[i] * 100 // p.percent, "right"))
+    j = np.arange(i + 1, last)
+    return j[(root[j] != root[i]) & ((side[j] != side[i]) if crossing else True)], last
+
+
+def _clumps(p: Params):
+    """Members of a bucket that an upper bound lets be linked, each with the least member of its clump."""
+
+    def work(rows: dict, crossing: bool):
+        order = np.lexsort((rows["rep"], rows["n"]))
+        n, rep, side = (rows[c][order] for c in ("n", "rep", "side"))
+        _, component = np.unique(rows["component"][order], return_inverse=True)
+        sketch = [np.frombuffer(x, np.uint16) for x in rows["bins"][order]]
+        width = np.fromiter(map(len, sketch), np.int64, len(sketch))
+        clump, met = np.arange(len(n)), np.zeros(len(n), bool)
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            at = np.flatnonzero((width >= w) & (n <= n[own[-1]] * 100 // p.percent))
+            folded = np.stack([sketch[k].astype(np.int64).reshape(w, -1).sum(1) for k in at.tolist()]).astype(np.int32)
+            where = np.full(len(n), -1)
+            where[at] = np.arange(len(at))
+            for i in own.tolist():
+                j, _ = _meetings(component, side, n, i, p, crossing)
+                if not len(j):
+                    continue
+                most = np.minimum(folded[where[j]], folded[where[i]]).sum(1, dtype=np.int64)
+                j = j[100 * most >= p.percent * (n[j] + n[i] - most)]
+                met[j] = True
+                met[i] |= len(j) > 0
+                if len(apart := np.unique(clump[j][clump[j] != clump[i]])):
+                    clump[np.isin(clump, apart)] = clump[i]
+        out = np.flatnonzero(met)
+        lowest = np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(lowest, clump[out], rep[out])
+        return rep[out], lowest[clump[out]]
+
+    return work
+
+
+def _links(p: Params):
+    """Links of a group by full shingle sets that join its components, one for each two that meet."""
+
+    def work(rows: dict, crossing: bool):
+        hashes = Hashes()
+        sets = [shingles(t, p.words, hashes) for t in rows["text"]]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        order = np.lexsort((rows["rep"], sizes))
+        n, rep, side = sizes[order], rows["rep"][order], rows["side"][order]
+        _, root = np.unique(rows["component"][order], return_inverse=True)
+        _, flat = np.unique(np.concatenate([sets[k] for k in order.tolist()]), return_inverse=True)
+        ends = np.cumsum(n)
+        starts = ends - n
+        mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+        out_a, out_b = [], []
+        for i in range(len(n)):
+            j, last = _meetings(root, side, n, i, p, crossing)
+            if not len(j) or not n[i]:
+                continue
+            own = flat[starts[i] : ends[i]]
+            mark[own] = True
+            if 4 * len(j) > last - i:
+                held = np.add.reduceat(mark[flat[starts[i + 1] : ends[last - 1]]], starts[i + 1 : last] - starts[i + 1], dtype=np.int64)[j - i - 1]
+            else:
+                held = np.fromiter((np.count_nonzero(mark[flat[starts[k] : ends[k]]]) for k in j.tolist()), np.int64, len(j))
+            mark[own] = False
+            j = j[100 * held >= p.percent * (n[i] + n[j] - held)]
+            for k in j.tolist():
+                if root[k] != root[i]:
+                    root[root == root[k]] = root[i]
+                    out_a.append(min(rep[i], rep[k]))
+                    out_b.append(max(rep[i], rep[k]))
+        return out_a, out_b
+
+    return work
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text of the rows of docs that ids (_id) names, written.
+
+    Only these are shuffled: a Bloom filter of their ids is pushed below the
+    exchange. It needs a written table with a predicate to start from.
+    """
+    ids = scratch.keep(ids).where(F.col("_id") >= -(1 << 63))
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    with settings(docs.sparkSession, BLOOM):
+        return scratch.keep(texts)
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -247,20 +338,21 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     )
     keys = reps.select("rep", "n", F.explode(F.expr(_keys(p.collections))).alias("key"))
     shared = keys.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    members = scratch.keep(keys.join(shared, "key").select("key", "rep", "n", "centre", "size"))
+    members = scratch.keep(keys.join(shared, "key").select("key", "rep", "n", "centre"))
     pairs = scratch.keep(
         members.where(f"rep <> centre.rep and {_close('n', 'centre.n', p)}")
         .select(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).distinct()
     )
     links = confirmed(pairs, docs, p, scratch)
-    first = scratch.keep(components(links, scratch))
-    placed = members.select("key", "rep", "size").join(
-        first.select(F.col("id").alias("rep"), "component"), "rep", "left"
-    ).withColumn("component", F.coalesce("component", "rep"))
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = placed.join(split.select("key"), "key").join(reps.select("rep", "n", "bins"), "rep")
-    more = scratch.keep(_blocks(open_, p))
-    again = confirmed(more, docs, p, scratch)
+    first = scratch.keep(components(links, scratch)).select(F.col("id").alias("rep"), "component")
+    placed = members.select("key", "rep").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_ = _dealt(placed, "key", "1", p.block, scratch).join(reps.select("rep", "n", "bins"), "rep")
+    clumped = _grouped(open_, "key", ("rep", "n", "bins", "component"), _clumps(p), "a long, b long")
+    clumps = scratch.keep(components(clumped, scratch).select(F.col("id").alias("rep"), F.col("component").alias("clump")))
+    texts = texts_of(docs, clumps.select(F.col("rep").alias("_id")), scratch)
+    clumps = clumps.join(reps.select("rep", "n"), "rep").join(first, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    verified = _dealt(clumps, "clump", "n + 200", 400 * p.block, scratch).join(texts, F.col("rep") == F.col("doc_id"))
+    again = scratch.keep(_grouped(verified, "clump", ("rep", "component", "text"), _links(p), "a long, b long"))
     whole = components(links.unionByName(again), scratch)
     reach = reps.select("h1", "h2", "rep").join(whole, F.col("rep") == F.col("id"), "left")
     reach = reach.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), F.coalesce("component", "rep").alias("component"))
