@@ -8,10 +8,11 @@ verified word for word. The set is broadcast only if the benchmark's words fit
 dealt by item, whose results are merged by id and text; as equal rows have equal
 results, each row of the input keeps its own either way.
 
-Defined results: null, empty and wordless texts have no words and no hits; an
-item with a null id can hit words but is not listed; repeated items count once;
-repeated document rows give repeated results; other columns are ignored by the
-query and kept by ``remove``.
+Defined results: null, empty and wordless texts have no words and no hits; very
+long texts are scanned whole; an empty benchmark hits nothing and an empty table
+gives no rows; an item with a null id can hit words but is not listed; repeated items count once;
+repeated document rows give repeated results; other columns, whatever
+their names, are ignored by the query and kept by ``remove`` and ``remove_spans``.
 """
 
 from __future__ import annotations
@@ -202,17 +203,34 @@ def remove(docs: DataFrame, benchmark: DataFrame, size: int = 8, broadcast_words
     return docs.where(clean("text"))
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 8) -> DataFrame:
-    """docs with the words that windows hit cut out of the text, and the separators between them."""
-    hits = scan(docs, benchmark, size).where(F.size("hits") > 0).select(F.col("doc_id").alias("_tw_id"), "hits")
-    hits = hits.dropDuplicates(["_tw_id"]).withColumnRenamed("hits", "_tw_hits")
+def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 8, broadcast_words: int = 4_000_000) -> DataFrame:
+    """docs with the words that windows hit cut out of the text, and the separators between them.
+
+    Every row is cut by the hits of its own text, whatever its id; a null text stays null.
+    """
+    bench = benchmark.select("item_id", "text").distinct()
+    small_batches(docs.sparkSession)
+    if (blocks := _blocks_of(bench, broadcast_words)) > 1:
+        found = _in_blocks(docs.select("doc_id", "text"), bench, size, blocks).where(F.size("hits") > 0)
+        found = found.groupBy(F.col("key").alias("_tw_key")).agg(F.first("hits").alias("_tw_hits"))  # equal texts have equal hits
+
+        @F.pandas_udf("string")
+        def cut_at(texts: pd.Series, hits: pd.Series) -> pd.Series:
+            return pd.Series([_cut(t, h) for t, h in zip(texts, hits)], dtype=object)
+
+        both = docs.join(found, _key("text") == F.col("_tw_key"), "left")
+        text = F.when(F.col("_tw_hits").isNull(), F.col("text")).otherwise(cut_at("text", "_tw_hits"))
+        return both.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in bench.collect()], size))
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([_cut(t, h) for t, h in zip(texts, found)])
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes, known = Hashes(), index.value
+        for texts in batches:
+            hits = ([{"start": a, "end": b} for a, b in known.hits(words, hashes)[0]] if (words := words_of(t)) else [] for t in texts)
+            yield pd.Series([_cut(t, h) for t, h in zip(texts, hits)], dtype=object)
 
-    columns = [F.when(F.col("_tw_hits").isNull(), F.col("text")).otherwise(cut("text", "_tw_hits")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(hits, F.col("doc_id") == F.col("_tw_id"), "left").select(*columns)
+    return docs.select(*[cut("text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _cut(text: str | None, hits) -> str | None:
