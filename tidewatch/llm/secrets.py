@@ -1,7 +1,7 @@
 """Secret scans: a worklist that unwraps nested encodings and rescans each layer.
 
 Every text is layer 0. Percent escapes, Unicode escapes, base64 runs and
-compressed payloads in a layer make further layers until none is new, whatever
+compressed payloads (in base64 or in escapes) in a layer make further layers until none is new, whatever
 characters they hold (UTF-8, else Latin-1, and UTF-16 if there are NULs); a layer
 that was seen before (same content at the same place) is not entered again, so
 self-reproducing payloads end. Every layer carries, for each of its characters,
@@ -10,7 +10,9 @@ reported at the original text's code points.
 
 Defined results: a null text counts as empty and has no spans; an empty text has
 none; repeated rows give repeated results; other columns are ignored and may
-have any name. A payload that would decompress beyond ``max_layer_bytes`` is not
+have any name; very long texts are scanned whole; an empty table gives no rows. A
+base64 run of fewer than 16 characters isn't decoded: it holds 11 bytes at most,
+and no kind of secret is that short. A payload that would decompress beyond ``max_layer_bytes`` is not
 expanded in memory: its place is counted in ``n_unscanned``.
 """
 
@@ -166,19 +168,29 @@ def _inflate(raw: bytes, at: int, limit: int) -> tuple[bytes, int]:
 def _unpacked(raw: bytes, limit: int) -> tuple[list[bytes], int]:
     """All that compressed payloads in raw hold, at any depth, and how many were too large."""
     out, seen, work, skipped = [], {raw}, [raw], 0
+
+    def add(less: bytes) -> None:
+        if less and less not in seen:
+            seen.add(less)
+            out.append(less)
+            work.append(less)
+
     while work:
         packed, at = work.pop(), 0
+        members: list[bytes] = []  # payloads that follow each other directly
         while m := MAGIC.search(packed, at):
+            if members and m.start() > at:
+                add(b"".join(members))
+                members = []
             try:
-                less, at = _inflate(packed, m.start(), limit)
+                less, at = _inflate(packed, m.start(), limit - sum(map(len, members)))
             except TooLarge:
                 skipped += 1
                 at = m.start() + 1
                 continue
-            if less and less not in seen:
-                seen.add(less)
-                out.append(less)
-                work.append(less)
+            members.append(less)
+            add(less)
+        add(b"".join(members))
     return out, skipped
 
 
@@ -200,6 +212,26 @@ def _texts(raw: bytes) -> list[tuple[str, np.ndarray, np.ndarray]]:
     return out
 
 
+#: What spells a byte in escapes.
+BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2})+")
+
+
+def _escaped(layer: Layer, limit: int) -> tuple[list[Layer], int]:
+    """Layers of compressed bytes that are written as escapes, and payloads that were too large."""
+    out, skipped = [], 0
+    for m in BYTES.finditer(layer.text):
+        raw = bytes.fromhex(re.sub(r"%|\\x|\\u00", "", m[0]))
+        if not MAGIC.search(raw):
+            continue
+        packed, over = _unpacked(raw, limit)
+        skipped += over
+        a, b = layer.place(m.start(), m.end())
+        for text in (t for p in packed for t, _, _ in _texts(p)):
+            if _matters(text):
+                out.append(Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text))))
+    return out, skipped
+
+
 def _matters(text: str) -> bool:
     """Whether a text has spans or may have layers."""
     return "%" in text or "\\" in text or BASE64.search(text) is not None or bool(scan(text))
@@ -271,6 +303,9 @@ def find(text: str | None, max_layer_bytes: int = 64 << 20) -> dict:
         if "\\" in layer.text:
             new.append(_rewritten(layer, ESCAPE, _escape))
         made, bare, over = _base64(layer, max_layer_bytes)
+        if "%" in layer.text or "\\" in layer.text:
+            more, above = _escaped(layer, max_layer_bytes)
+            made, over = made + more, over + above
         layers += bare
         skipped += over
         for child in [*new, *made]:
