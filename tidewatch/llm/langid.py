@@ -8,27 +8,32 @@ over its words. All of this runs on arrays for many words at once, and each
 distinct word is computed once while it stays in a task's cache.
 
 Learning takes at most ``per_language`` texts of each language, chosen by a hash
-of their ids; prediction covers whole texts. Words are lower-cased runs of
-letters; one of more than ``UNIT`` letters is taken in units of that length.
-
-Defined results: a null text or one without letters is ``und`` with score 0;
-rows without a language aren't learned from, and without any learned language
-all rows are ``und``; ties go to the first language by name.
+of their ids; prediction covers whole texts and whole words, however long. Words
+are lower-cased runs of letters, with the marks on them.
+
+Defined results: a null text or one without letters (digits, number forms and
+signs are none) is ``und`` with score 0; rows without a language aren't learned
+from, and without any learned language all rows are ``und``; ties go to the first
+language by name; repeated rows give repeated results, and rows that repeat an id
+are learned from together; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import crc_fold, small_batches, table
 
-LETTERS = re.compile(r"[^\W\d_]+")
-UNIT = 24
+#: A letter (category L), and the letters and marks (M) that follow it.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+#: Likelihoods of longer words are computed as logarithms, as a product of so many probabilities could vanish.
+PLAIN = 24
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Piece of any single character that the vocabulary lacks.
 UNKNOWN = 0
@@ -114,8 +119,16 @@ class Lattice:
         order = np.lexsort((dst, local))
         return (src + shift)[order], (dst + shift)[order], ids[order], local[order], first + np.arange(len(words)), ends + np.arange(len(words))
 
-    def forward(self, words: list[str], probs: np.ndarray):
+    def forward(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """Log-likelihood of each word in each language, shape words x languages."""
+        long = np.fromiter((len(w) > PLAIN for w in words), bool, len(words))
+        out = np.empty((len(words), probs.shape[1]))
+        for which, part in ((~long, self._forward), (long, self._forward_logs)):
+            if which.any():
+                out[which] = part([w for w, x in zip(words, which.tolist()) if x], probs)
+        return out
+
+    def _forward(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         src, dst, ids, local, first, last = self.edges(words)
         alpha = np.zeros((int(last[-1]) + 1, probs.shape[1]))
         alpha[first] = 1
@@ -125,8 +138,26 @@ class Lattice:
             alpha[to] = np.add.reduceat(add, at)
         return np.log(alpha[last])
 
+    def _forward_logs(self, words: list[str], probs: np.ndarray) -> np.ndarray:
+        src, dst, ids, local, first, last = self.edges(words)
+        logs = np.log(probs)
+        alpha = np.full((int(last[-1]) + 1, probs.shape[1]), -np.inf)
+        alpha[first] = 0
+        for a, b in _runs(local):
+            to, at = np.unique(dst[a:b], return_index=True)
+            alpha[to] = np.logaddexp.reduceat(alpha[src[a:b]] + logs[ids[a:b]], at)
+        return alpha[last]
+
     def expected(self, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, over words with weights, for one language."""
+        long = np.fromiter((len(w) > PLAIN for w in words), bool, len(words))
+        out = np.zeros(len(probs))
+        for which, part in ((~long, self._expected), (long, self._expected_logs)):
+            if which.any():
+                out += part([w for w, x in zip(words, which.tolist()) if x], np.asarray(weights, float)[which], probs)
+        return out
+
+    def _expected(self, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
         src, dst, ids, local, first, last = self.edges(words)
         alpha = np.zeros(int(last[-1]) + 1)
         alpha[first] = 1
@@ -139,6 +170,20 @@ class Lattice:
             np.add.at(beta, src[a:b], beta[dst[a:b]] * probs[ids[a:b]])
         return np.bincount(ids, weights=alpha[src] * probs[ids] * beta[dst], minlength=len(probs))
 
+    def _expected_logs(self, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
+        src, dst, ids, local, first, last = self.edges(words)
+        logs = np.log(probs)
+        alpha = np.full(int(last[-1]) + 1, -np.inf)
+        alpha[first] = 0
+        for a, b in _runs(local):
+            to, at = np.unique(dst[a:b], return_index=True)
+            alpha[to] = np.logaddexp.reduceat(alpha[src[a:b]] + logs[ids[a:b]], at)
+        beta = np.full(len(alpha), -np.inf)
+        beta[last] = np.log(weights) - alpha[last]
+        for a, b in reversed(_runs(local)):
+            np.logaddexp.at(beta, src[a:b], beta[dst[a:b]] + logs[ids[a:b]])
+        return np.bincount(ids, weights=np.exp(alpha[src] + logs[ids] + beta[dst]), minlength=len(probs))
+
 
 def _runs(local: np.ndarray) -> list[tuple[int, int]]:
     cut = np.flatnonzero(np.diff(local)) + 1
@@ -168,10 +213,7 @@ def fit(lattice: Lattice, counts: dict[str, int], rounds: int = 4, smooth: float
 
 
 def units(text: str | None) -> list[str]:
-    found = LETTERS.findall((text or "").lower())
-    if max(map(len, found), default=0) > UNIT:
-        return [w[i : i + UNIT] for w in found for i in range(0, len(w), UNIT)]
-    return found
+    return LETTERS.findall((text or "").lower())
 
 
 def train(docs: DataFrame, learn: Column, pieces: list[str], per_language: int) -> tuple[list[str], np.ndarray]:
