@@ -16,9 +16,12 @@ block of a source, however large the source.
 
 Randomness is a hash of seed, level and document: reruns agree.
 
-Defined results: a null or empty text has size 0 and nothing of it is taken; the
-null source is a source, last in order; repeated rows (same id, source and size)
-are decided together and each is returned; an empty table gives no rows.
+Defined results: a null or empty text has size 0 and nothing of it is taken; a very
+long text is one unit as any other; the null source is a source, last in order; a
+null id is an id; repeated rows (same id, source and size) are decided together and
+each is returned; ties between documents are broken by a hash; an empty table gives
+no rows. Other columns, whatever their names, are ignored by the query and kept by
+``take``.
 """
 
 from __future__ import annotations
@@ -171,17 +174,21 @@ def mix(
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
-    """The mix: docs of at least one copy, with their copies and the words taken."""
+    """The mix: docs of at least one copy, with their copies and the words taken.
+
+    Columns of docs named copies or taken stay, as copies_before and taken_before.
+    """
     made = mix(docs, **how).where("copies > 0").select(
         F.col("doc_id").alias("_tw_doc"), F.col("source").alias("_tw_source"), F.col("size").alias("_tw_size"), "copies", "taken"
     ).distinct()
-    clash = [c for c in docs.columns if c in ("copies", "taken")]
+    for c in ("copies", "taken"):
+        docs = docs.withColumnRenamed(c, f"{c}_before")
     same = (
         F.col("doc_id").eqNullSafe(F.col("_tw_doc"))
         & F.col("source").eqNullSafe(F.col("_tw_source"))
         & (size_of(F.col("text")) == F.col("_tw_size"))
     )
-    return docs.drop(*clash).join(made, same).drop("_tw_doc", "_tw_source", "_tw_size")
+    return docs.join(made, same).drop("_tw_doc", "_tw_source", "_tw_size")
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
