@@ -226,6 +226,10 @@ def test_mix_edges(awkward, nothing):
     mixed = mixing.take(awkward)
     assert set(mixed.columns) == {*awkward.columns, "copies", "taken"} and mixed.where("copies < 1").count() == 0
     assert "MapInArrow" not in mixed._jdf.queryExecution().toString()
+    kept = mixing.take(awkward.withColumn("copies", F.lit(99)).withColumn("taken", F.lit("x")))
+    assert set(kept.columns) == {*awkward.columns, "copies", "taken", "copies_before", "taken_before"}
+    assert {(r.copies_before, r.taken_before) for r in kept.collect()} == {(99, "x")}
+    assert mixing.take(nothing).count() == 0
 
 
 # URL lists -----------------------------------------------------------------------------------

@@ -13,7 +13,10 @@ their ids.
 Defined results: a null or empty text has no words and fails the base rules;
 unlabelled rows and null labels aren't learned from; without labelled rows of
 both classes the list is empty and keeps what the base rules keep; repeated
-labels of a document count once, by their smallest value.
+labels of a document count once, by their smallest value; repeated rows give
+repeated results; very long texts are taken whole; ties between thresholds go to
+the first statistic as listed; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

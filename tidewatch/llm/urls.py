@@ -14,7 +14,8 @@ as one array, so a capture meets each entry once, and entries are repeated over
 Defined results: an unparsable or null URL, or a null fetch time, matches
 nothing; events of an entry at the same time apply additions first, so removal
 wins; repeated events change nothing; repeated captures give repeated results;
-an empty list blocks nothing.
+an empty list blocks nothing; an empty table gives no rows; very long URLs are
+taken whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
