@@ -296,8 +296,9 @@ class LinearSvm(Kernel):
     """Linear one-class machines on a graph of nodes; a node's children are asked if it scores above the threshold."""
 
     def __init__(self, graph=None, threshold=0.0, learning_rate=0.01, nu=0.5, lambda_reg=0.01):
-        self.graph = graph or {0: [1], 1: [2], 2: []}
-        children = {c for cs in self.graph.values() for c in cs}
+        given = graph or {0: [1], 1: [2], 2: []}
+        children = {c for cs in given.values() for c in cs}
+        self.graph = {**given, **{c: [] for c in sorted(children - given.keys())}}  # nodes named as children only have none
         self.roots = [n for n in self.graph if n not in children] or list(self.graph)[:1]
         self.limit, self.rate, self.nu, self.reg = threshold, learning_rate, nu, lambda_reg
         self.w: dict[int, np.ndarray] = {}

@@ -33,23 +33,28 @@ def decayed(df: DataFrame, keys: list[str], bucket: str, factor: float, lag: int
     return out.select(*keys, F.explode(F.expr(fold)).alias("_o")).select(*keys, F.col("_o.b").alias(bucket), F.col("_o.h").alias(name))
 
 
-def running(df: DataFrame, keys: list[str], bucket: str, order: tuple[str, ...], name: str) -> DataFrame:
+def running(df: DataFrame, base: DataFrame, keys: list[str], bucket: str, order: tuple[str, ...], name: str) -> DataFrame:
     """Adds the number of earlier rows with the same keys.
 
-    Whole earlier buckets are counted by a fold over their sizes, so a task holds
-    one key's rows of one bucket at most, however frequent the key.
+    base: the rows that are counted, before anything was joined to them, so that a
+    chain of such counts doesn't repeat its own joins.
+
+    Whole earlier buckets are summed over one row for each key and bucket, so a task
+    holds one key's rows of one bucket at most, however frequent the key.
     """
-    hist = decayed(df, keys, bucket, 1.0, 0, "_tw_before")
+    past = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    hist = base.groupBy(*keys, bucket).agg(F.count("*").alias("_tw_n"))
+    hist = hist.withColumn("_tw_before", F.coalesce(F.sum("_tw_n").over(past), F.lit(0))).drop("_tw_n")
     out = df.join(hist, [*keys, bucket]).withColumn(name, (F.col("_tw_before") + _seen(order, *keys, bucket)).cast("long"))
     return out.drop("_tw_before")
 
 
 def midas(df: DataFrame, src: str, dst: str, bucket: str, order: tuple[str, ...], warm_up: int = 128, relational: bool = True, normalize: bool = False, eps: float = 1e-9, out: str = "score") -> DataFrame:
     """Edge microclusters: an edge's count in its bucket against its mean and its ends' totals."""
-    rows = arrival(df, bucket, order, "_n").withColumn(bucket, F.col(bucket).cast("long"))
-    rows = rows.withColumn("_a", _seen(order, src, dst, bucket) + 1)
+    base = df.withColumn(bucket, F.col(bucket).cast("long"))
+    rows = arrival(base, bucket, order, "_n").withColumn("_a", _seen(order, src, dst, bucket) + 1)
     for name, keys in (("_s", [src, dst]), ("_u", [src]), ("_d", [dst])):
-        rows = running(rows, keys, bucket, order, name).withColumn(name, F.col(name) + 1)
+        rows = running(rows, base, keys, bucket, order, name).withColumn(name, F.col(name) + 1)
     first = df.agg(F.min(bucket).alias("_t0"))
     rows = rows.crossJoin(F.broadcast(first)).withColumn("_bi", F.col(bucket) - F.col("_t0") + 1)  # one row
     chi = lambda e: F.pow(F.col("_a") - e, F.lit(2.0)) / (e + eps)
@@ -64,14 +69,15 @@ def midas(df: DataFrame, src: str, dst: str, bucket: str, order: tuple[str, ...]
 
 def isconna(df: DataFrame, src: str, dst: str, bucket: str, order: tuple[str, ...], decay: float = 0.5, warm_up: int = 64, normalize: bool = False, eps: float = 1e-9, out: str = "score") -> DataFrame:
     """Rarity and novelty of an edge over all time, times its burst in decayed counts."""
-    rows = arrival(df, bucket, order, "_n").withColumn(bucket, F.col(bucket).cast("long"))
+    base = df.withColumn(bucket, F.col(bucket).cast("long"))
+    rows = arrival(base, bucket, order, "_n")
     for name, keys in (("e", [src, dst]), ("u", [src]), ("d", [dst]), ("m", [])):
-        hist = decayed(rows.withColumn("_one", F.lit(1)), keys or ["_one"], bucket, decay, 0, f"_h{name}")
+        hist = decayed(base.withColumn("_one", F.lit(1)), keys or ["_one"], bucket, decay, 0, f"_h{name}")
         if not keys:
             hist = hist.drop("_one")
         rows = rows.join(hist, [*keys, bucket]).withColumn(f"_c{name}", F.col(f"_h{name}") + _seen(order, *keys, bucket) + 1)
         if keys:
-            rows = running(rows, keys, bucket, order, f"_t{name}").withColumn(f"_t{name}", F.col(f"_t{name}") + 1)
+            rows = running(rows, base, keys, bucket, order, f"_t{name}").withColumn(f"_t{name}", F.col(f"_t{name}") + 1)
     expected = F.col("_tu") * F.col("_td") / (F.col("_n") + 1)
     current = F.col("_cu") * F.col("_cd") / F.col("_cm")
     score = (expected / (F.col("_te") + eps) + 1 / (F.col("_te") + eps)) * (F.col("_ce") + eps) / (current + eps)

@@ -1,29 +1,44 @@
-"""Ordered folds of kernels: one instance for each key, in batch."""
+"""Ordered folds of kernels: one instance for each key, in batch.
+
+Rows are dealt by key and sorted within partitions; a task streams them in Arrow
+batches and keeps the state of one key, so memory is bounded by a batch and a
+state, however long a key's history is.
+"""
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidewatch.functions.kernels import Kernel
 from tidewatch.plans.stream import StreamSpec
 
 
-def advance(kernel: Kernel, pdf: pd.DataFrame, features: list[str], outputs: list[str], learn_first: bool = False) -> pd.DataFrame:
-    """pdf with the kernel's outputs, in the order of its rows.
+def answers(kernel: Kernel, rows: Iterable[tuple], width: int, learn_first: bool = False) -> Iterator[tuple]:
+    """What the kernel says of each row. A row with a null or NaN teaches nothing and gets nulls.
 
     learn_first: of a copy of the kernel that has learned the row; the kernel itself goes on unscored.
     """
-    rows = []
-    for row in pdf[features].itertuples(index=False, name=None):
+    none = (None,) * width
+    for row in rows:
+        if any(v is None or v != v for v in row):
+            yield none
+            continue
         made = kernel.step(row)
-        rows.append(pickle.loads(dump(kernel)).step(row) if learn_first else made)
-    made = pd.DataFrame(rows, columns=outputs, index=pdf.index)
+        yield pickle.loads(dump(kernel)).step(row) if learn_first else made
+
+
+def advance(kernel: Kernel, pdf: pd.DataFrame, features: list[str], outputs: list[str], learn_first: bool = False) -> pd.DataFrame:
+    """pdf with the kernel's outputs, in the order of its rows."""
+    rows = pdf[features].astype(object).itertuples(index=False, name=None)
+    made = pd.DataFrame(list(answers(kernel, rows, len(outputs), learn_first)), columns=outputs, index=pdf.index)
     return pd.concat([pdf, made], axis=1)
 
 
@@ -36,50 +51,83 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def _keyed(batch: pa.RecordBatch, by: list[str]) -> list[tuple]:
+    if not by:
+        return [()] * batch.num_rows
+    return [tuple("NaN" if v != v else v for v in key) for key in zip(*[batch.column(c).to_pylist() for c in by])]
+
+
+def _run(df: DataFrame, by: list[str], order: list[str], features: list[str], added: StructType, start: Callable[[tuple], list], row_of: Callable, learn_first: bool) -> DataFrame:
+    """df, dealt by ``by`` and in order, with added columns: row_of(outputs of each of the kernels that start(key) makes)."""
+    schema = StructType([*df.schema.fields, *added.fields])
+    types = [f.type for f in to_arrow_schema(added)]
+    dealt = (spread(df, *by) if by else df.repartition(1)).sortWithinPartitions(*by, *order)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kernels = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = _keyed(batch, by)
+            rows = list(zip(*[batch.column(c).to_pylist() for c in features]))
+            edges = [i for i, key in enumerate(keys) if i == 0 or key != keys[i - 1]] + [len(keys)]
+            made: list[tuple] = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if keys[a] != last:
+                    last, kernels = keys[a], start(keys[a])
+                each = [answers(k, rows[a:b], len(types) if len(kernels) == 1 else 1, learn_first) for k in kernels]
+                made += [row_of(x) for x in zip(*each)]
+            columns = [pa.array(c, t, from_pandas=True) for c, t in zip(zip(*made), types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added.fieldNames()])
+
+    return dealt.mapInArrow(run, schema)
+
+
 def fold(df: DataFrame, spec: StreamSpec, features: list[str], make: Callable[[], Kernel]) -> DataFrame:
     """Adds the outputs of one kernel for each key of spec.by.
 
-    Rows with a null feature are dropped from the fold. Without keys the whole
-    stream is one task, as its state is one chain.
+    A row with a null feature gets null outputs and isn't learned from. Without keys
+    the whole stream passes through one task, as its state is one chain.
     """
     spec.check(df, *features)
-    learn_first = spec.discipline == "learn_first"
-    ddl = make().outputs
-    added = StructType.fromDDL(ddl)
-    names = added.fieldNames()
-    schema = StructType([*df.drop(*names).schema.fields, *added.fields])
-    order = list(spec.order)
-    columns = [c for c in schema.fieldNames() if c not in names]
+    added = StructType.fromDDL(make().outputs)
+    clean = df.drop(*added.fieldNames())
+    return _run(clean, list(spec.by), list(spec.order), features, added, lambda key: [make()], lambda x: x[0], spec.discipline == "learn_first")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return advance(make(), pdf[columns], features, names, learn_first)
 
-    keys = [F.col(c) for c in spec.by] or [F.lit(0).alias("_tw_all")]
-    clean = df.drop(*names).dropna(subset=features)
-    if spec.by:
-        clean = spread(clean, *spec.by)
-    return clean.groupBy(*keys).applyInPandas(run, schema)
+def _mean(x: tuple) -> tuple:
+    """Sum and number of the members' answers; nulls if there are none."""
+    got = [v for (v,) in x if v is not None]
+    return (sum(got), len(got)) if got else (None, None)
 
 
-def ensemble(df: DataFrame, spec: StreamSpec, features: list[str], members: int, make: Callable[[int], Kernel], out: str = "mean") -> DataFrame:
-    """Adds the mean output of members that each fold the whole stream of a key: a task for each key and member.
+def ensemble(df: DataFrame, spec: StreamSpec, features: list[str], members: int, make: Callable[[int], Kernel], out: str = "mean", groups: int | None = None) -> DataFrame:
+    """Adds the mean output of members that each fold the whole stream of a key.
 
-    Members see the features only; rows are named by the spec's order columns.
+    groups: tasks that share the members of a key. With one, rows are dealt once and
+    all members of a key step on the same batches; with more, rows (order, key and
+    features only) are repeated for each group and the sums are joined back, which
+    pays where a few keys hold most rows. By default one with keys, and as many as
+    the session shuffles to without.
     """
     spec.check(df, *features)
     learn_first = spec.discipline == "learn_first"
-    row = list(dict.fromkeys([*spec.by, *spec.order]))
-    wide = df.select(*row, *[c for c in features if c not in row]).dropna(subset=features)
-    wide = wide.withColumn("_member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
-    schema = StructType([*wide.select(*row).schema.fields]).add("_out", "double")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(spec.order), kind="stable").reset_index(drop=True)
-        return advance(make(int(key[-1])), pdf, features, ["_out"], learn_first)[[*row, "_out"]]
-
-    each = spread(wide, *spec.by, "_member").groupBy(*spec.by, "_member").applyInPandas(run, schema)
-    return df.join(each.groupBy(*row).agg(F.avg("_out").alias(out)), row)
+    by, order = list(spec.by), list(spec.order)
+    if groups is None:
+        groups = 1 if by else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, min(groups, members))
+    added = StructType.fromDDL("_sum double, _of long")
+    if groups == 1:
+        start = lambda key: [make(m) for m in range(members)]
+        made = _run(df.drop(out), by, order, features, added, start, _mean, learn_first)
+        return made.withColumn(out, F.col("_sum") / F.col("_of")).drop("_sum", "_of")
+    row = list(dict.fromkeys([*by, *order]))
+    wide = df.select(*row, *[c for c in features if c not in row])
+    wide = wide.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    start = lambda key: [make(m) for m in range(key[-1], members, groups)]
+    each = _run(wide, [*by, "_group"], order, features, added, start, _mean, learn_first)
+    sums = each.groupBy(*row).agg((F.sum("_sum") / F.sum("_of")).alias(out))
+    return df.drop(out).join(sums, row)
 
 
 def dump(kernel: Kernel) -> bytes:

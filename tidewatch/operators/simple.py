@@ -14,8 +14,9 @@ def null_scores(df: DataFrame, out: str = "score") -> DataFrame:
 
 
 def random_scores(df: DataFrame, *key: str, seed: int = 1, out: str = "score") -> DataFrame:
-    """Uniform on [0, 1) by a hash of seed and row key: the same in every run and partitioning."""
-    return df.withColumn(out, F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)) / float(1 << 53))
+    """Uniform on [0, 1) by the md5 of seed and row key: the same in every run, partitioning and engine."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in key]))
+    return df.withColumn(out, F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52))
 
 
 def threshold(df: DataFrame, ceiling: dict[str, float] | None = None, floor: dict[str, float] | None = None, out: str = "score") -> DataFrame:
@@ -30,8 +31,10 @@ def threshold(df: DataFrame, ceiling: dict[str, float] | None = None, floor: dic
     return df.withColumn(out, F.when(test, 1.0).otherwise(0.0))
 
 
-def predict(df: DataFrame, score: str = "score", limit: float = 0.5, out: str = "predicted") -> DataFrame:
-    """1 where the score reaches the limit, else 0; a null score gives null."""
+def predict(df: DataFrame, score: str = "score", limit: float = 0.5, out: str = "predicted", signed: bool = False) -> DataFrame:
+    """1 where the score reaches the limit, else 0; signed: 1 where it is at most the limit, else -1. A null score gives null."""
+    if signed:
+        return df.withColumn(out, F.when(F.col(score) <= limit, 1).when(F.col(score) > limit, -1))
     return df.withColumn(out, (F.col(score) >= limit).cast("int"))
 
 

@@ -7,6 +7,7 @@ from typing import Literal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Discipline = Literal["score_first", "learn_first"]
 
@@ -44,24 +45,47 @@ class StreamSpec:
             raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+#: Intervals that the range of the first order column is cut into.
+INTERVALS = 1 << 14
+
+
+def interval(df: DataFrame, column: str) -> Column | None:
+    """The interval of a column's range that a row's value lies in, in order; null if the type has no distances."""
+    kind = df.schema[column].dataType
+    value = F.col(column)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        value = F.unix_micros(value.cast("timestamp"))
+    elif not isinstance(kind, T.NumericType):
+        return None
+    value = value.cast("double")
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    low, high = df.select(F.min(finite), F.max(finite)).first()
+    if low is None:
+        return F.lit(0).cast("long")
+    inside = F.floor((value - low) / (max(high - low, 1e-9) / (INTERVALS - 1)))
+    place = F.when(value < low, -1).when(value > high, INTERVALS).otherwise(inside)  # NaN is greatest, as in the order
+    return F.coalesce(place, F.lit(-2)).cast("long")  # nulls come first
+
+
 def arrival(df: DataFrame, bucket: str, order: tuple[str, ...], name: str = "seq") -> DataFrame:
-    """Adds the position of each row in the whole stream, from 0, without a global sort.
+    """Adds the position of each row in the whole stream (by bucket, then order), from 0, without a global sort.
 
-    bucket must not decrease along the order. Rows are numbered inside their bucket
-    and shifted by the rows of earlier buckets, of which there is one row each.
+    Rows are numbered inside their interval of the first order column in their
+    bucket, and shifted by the rows of what comes earlier, one number for each bucket
+    and interval: so a task sorts an interval's rows, however long a bucket.
     """
-    before = (
-        df.groupBy(F.col(bucket).alias("_tw_bucket"))
-        .agg(F.count("*").alias("_tw_n"))
-        .withColumn("_tw_before", F.coalesce(F.sum("_tw_n").over(Window.orderBy("_tw_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_tw_n")
-    )
-    inside = F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) - 1
+    by = interval(df, order[0])
+    rows = df.withColumn("_tw_part", F.lit(0).cast("long") if by is None else by)
+    parts = [F.col(bucket).alias("_tw_bucket"), F.col("_tw_part").alias("_tw_at")]
+    earlier = Window.orderBy("_tw_bucket", "_tw_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*parts).agg(F.count("*").alias("_tw_n"))
+    before = before.withColumn("_tw_before", F.coalesce(F.sum("_tw_n").over(earlier), F.lit(0))).drop("_tw_n")
+    inside = F.row_number().over(Window.partitionBy(bucket, "_tw_part").orderBy(*order)) - 1
     return (
-        df.withColumn("_tw_inside", inside)
-        .join(before, F.col(bucket).eqNullSafe(F.col("_tw_bucket")))
+        rows.withColumn("_tw_inside", inside)
+        .join(before, F.col(bucket).eqNullSafe(F.col("_tw_bucket")) & (F.col("_tw_part") == F.col("_tw_at")))
         .withColumn(name, (F.col("_tw_before") + F.col("_tw_inside")).cast("long"))
-        .drop("_tw_inside", "_tw_before", "_tw_bucket")
+        .drop("_tw_inside", "_tw_before", "_tw_bucket", "_tw_at", "_tw_part")
     )
 
 

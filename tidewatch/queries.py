@@ -163,10 +163,25 @@ def mahalanobis2(spark, sf_dir):
 # Simple models and transformers --------------------------------------------------------------
 
 
-@query("mahalanobis3")
+_M3 = ("l_quantity", "l_discount", "l_tax")
+_M3_COV = ", ".join(f"covar_samp({a}, {b}) OVER p AS c{i}{j}" for i, a in enumerate(_M3) for j, b in enumerate(_M3) if i <= j)
+_M3_GAP = ", ".join(f"{a} - avg({a}) OVER p AS d{i}" for i, a in enumerate(_M3))
+
+
+@query("mahalanobis3", f"""SELECT {_LK}, round(CASE WHEN n < 5 OR det <= 1e-9 * c00 * c11 * c22 THEN 0 ELSE
+  (d0 * d0 * (c11 * c22 - c12 * c12) + d1 * d1 * (c00 * c22 - c02 * c02) + d2 * d2 * (c00 * c11 - c01 * c01)
+  + 2 * d0 * d1 * (c02 * c12 - c01 * c22) + 2 * d0 * d2 * (c01 * c12 - c02 * c11) + 2 * d1 * d2 * (c01 * c02 - c00 * c12)) / det END, 3) + 0.0 AS score
+FROM (SELECT *, c00 * (c11 * c22 - c12 * c12) - c01 * (c01 * c22 - c12 * c02) + c02 * (c01 * c12 - c11 * c02) AS det
+  FROM (SELECT {_LK}, count(*) OVER p AS n, {_M3_COV}, {_M3_GAP} FROM lineitem {_LW}))""")
 def mahalanobis3(spark, sf_dir):
-    names = ["l_quantity", "l_extendedprice", "l_discount"]
-    return moving.mahalanobis_all(lines(spark, sf_dir), LINES, names, W).select(*LINE_KEY, rounded())
+    """The operator's score, and 0 where the window has fewer than five rows or nearly no volume, where engines differ by rounding."""
+    past = LINES.past(W)
+    rows = lines(spark, sf_dir)
+    rows = rows.withColumns({f"c{i}{j}": F.covar_samp(a, b).over(past) for i, a in enumerate(_M3) for j, b in enumerate(_M3) if i <= j})
+    det = F.expr("c00 * (c11 * c22 - c12 * c12) - c01 * (c01 * c22 - c12 * c02) + c02 * (c01 * c12 - c11 * c02)")
+    flat = (F.count("*").over(past) < 5) | (det <= 1e-9 * F.col("c00") * F.col("c11") * F.col("c22"))
+    rows = moving.mahalanobis_all(rows.withColumn("flat", flat), LINES, list(_M3), W)
+    return rows.withColumn("score", F.when(F.col("flat"), 0.0).otherwise(F.col("score"))).select(*LINE_KEY, rounded(digits=3))
 
 
 @query("null_model", "SELECT event_id, 0.0::DOUBLE AS score FROM events")
@@ -174,7 +189,7 @@ def null_model(spark, sf_dir):
     return simple.null_scores(events(spark, sf_dir)).select("event_id", "score")
 
 
-@query("random_model")
+@query("random_model", "SELECT event_id, CAST('0x' || substr(md5('42:' || event_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS score FROM events")
 def random_model(spark, sf_dir):
     return simple.random_scores(events(spark, sf_dir), "event_id", seed=42).select("event_id", "score")
 
@@ -446,10 +461,33 @@ def srhf(spark, sf_dir):
     return fold(rows.select(*LINES_ORDER, *_UNIT), LINES, list(_UNIT), lambda: K.RandomHistograms(3)).select(*LINE_KEY, "score")
 
 
-@query("gadget")
+def _gadget_sql() -> str:
+    """Three nodes in a row, each with three weights and an offset, as one state that a row advances."""
+    nodes, dims = range(3), range(3)
+    state = [f"{v}{k}" for k in nodes for v in ("a", "b", "c", "r")]
+    dot = lambda k: f"a{k} * x0 + b{k} * x1 + c{k} * x2"
+    said = lambda k: f"(r{k} - ({dot(k)}))"
+    reach = [" AND ".join(["true", *[f"{said(j)} > 0" for j in range(k)]]) for k in nodes]
+    score = f"greatest(0.0, {', '.join(f'CASE WHEN {reach[k]} THEN {said(k)} ELSE 0.0 END' for k in nodes)})"
+    steps, inner = [], "SELECT f.user_id AS k0, o.*, " + ", ".join(f"f.{v}" for v in state) + f" FROM f JOIN o ON o.l_suppkey = f.user_id AND o.i = f.i + 1"
+    inner = f"SELECT *, {score} AS score, true AS on0 FROM ({inner})"
+    for k in nodes:
+        inside = f"CASE WHEN r{k} > {dot(k)} THEN 1 ELSE 0 END"
+        moved = ", ".join(f"CASE WHEN on{k} THEN 0.9999::DOUBLE * {v}{k} + 0.01::DOUBLE * x{d} * {inside} ELSE {v}{k} END AS {v}{k}" for d, v in enumerate("abc"))
+        inner = f"SELECT * REPLACE ({moved}, CASE WHEN on{k} THEN r{k} + 0.01::DOUBLE * (0.5::DOUBLE - {inside}) ELSE r{k} END AS r{k}) FROM ({inner})"
+        if k < 2:
+            inner = f"SELECT *, on{k} AND {said(k)} > 0 AS on{k + 1} FROM ({inner})"
+    unit = ", ".join(f"({e})::DOUBLE AS x{d}" for d, e in enumerate(_UNIT.values()))
+    return f"""WITH RECURSIVE o AS (SELECT l_suppkey, row_number() OVER ({_LO}) AS i, {unit} FROM lineitem),
+f AS (SELECT l_suppkey AS user_id, 0::BIGINT AS i, 0.0::DOUBLE AS score, {', '.join(f'0::DOUBLE AS {v}' for v in state)} FROM (SELECT DISTINCT l_suppkey FROM lineitem)
+  UNION ALL SELECT k0, i, score, {', '.join(state)} FROM ({inner}))
+SELECT {_LK}, round(f.score, 7) + 0.0 AS score FROM (SELECT *, row_number() OVER ({_LO}) AS i FROM lineitem) l JOIN f ON f.user_id = l.l_suppkey AND f.i = l.i"""
+
+
+@query("gadget", _gadget_sql())
 def gadget(spark, sf_dir):
     rows = lines(spark, sf_dir).withColumns({k: F.expr(v) for k, v in _UNIT.items()})
-    return fold(rows.select(*LINES_ORDER, *_UNIT), LINES, list(_UNIT), K.LinearSvm).select(*LINE_KEY, "score")
+    return fold(rows.select(*LINES_ORDER, *_UNIT), LINES, list(_UNIT), K.LinearSvm).select(*LINE_KEY, rounded(digits=7))
 
 
 @query("ipca")
@@ -488,6 +526,12 @@ def rcf(spark, sf_dir):
     return out.select(*LINE_KEY, "score")
 
 
+@query("rcf_shingle")
+def rcf_shingle(spark, sf_dir):
+    out = forests.random_cut_forest(unit_features(spark, sf_dir), LINES, list(_UNIT), n_trees=2, sample_size=32, shingle_size=3)
+    return out.select(*LINE_KEY, "score")
+
+
 @query("mondrian")
 def mondrian(spark, sf_dir):
     out = forests.mondrian_forest(unit_features(spark, sf_dir), LINES, list(_UNIT), n_estimators=4)

@@ -32,7 +32,7 @@ def stream_fold(df: DataFrame, spec: StreamSpec, features: list[str], make: Call
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kernel, newest = pickle.loads(state.get[0]) if state.exists else (make(), None)
-        pdf = pd.concat(list(batches)).dropna(subset=features).sort_values(order, kind="stable").reset_index(drop=True)
+        pdf = pd.concat(list(batches)).sort_values(order, kind="stable").reset_index(drop=True)
         if newest is not None and len(pdf):
             old = [tuple(r) <= newest for r in pdf[order].itertuples(index=False, name=None)]
             if any(old) and late == "error":
