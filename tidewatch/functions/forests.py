@@ -249,14 +249,17 @@ class _Cell:
 class OnlineTree(Kernel):
     """A tree that splits crowded leaves on uniform stand-ins for their rows, and merges thin ones as rows leave.
 
-    The row's depth with the expected depth of what its leaf holds.
+    The row's depth with the expected depth of what its leaf holds. batched: a row's
+    last value is the number of its batch; a batch is scored as a whole before it is
+    learned, and learned as a whole before the oldest rows leave.
     """
 
-    def __init__(self, max_leaf=32, adaptive=True, subsample=1.0, window_size=2048, branches=2, seed=1, member=0):
+    def __init__(self, max_leaf=32, adaptive=True, subsample=1.0, window_size=2048, branches=2, seed=1, member=0, batched=False):
         self.leaf, self.adaptive, self.share, self.window, self.b = max_leaf, adaptive, subsample, window_size, branches
         self.rng = np.random.default_rng((seed, member))
         self.rows: deque[np.ndarray] = deque()
         self.n, self.root = 0, None
+        self.batched, self.batch, self.waiting = batched, None, []
 
     def _need(self, depth: int) -> int:
         return self.leaf * (2**depth if self.adaptive else 1)
@@ -311,21 +314,34 @@ class OnlineTree(Kernel):
             if held:
                 up.low, up.high = np.min([k.low for k in held], 0), np.max([k.high for k in held], 0)
 
+    def score(self, x: np.ndarray) -> float:
+        if self.root is None:
+            return 0.0
+        cell = self.root
+        while cell.kids:
+            cell = cell.kids[int(np.searchsorted(cell.cuts, x[cell.axis], "right"))]
+        return cell.depth + self.expected(cell.n)
+
+    def learn(self, rows: list[np.ndarray]) -> None:
+        taken = [x for x in rows if self.rng.random() < self.share]
+        self.n += len(taken)
+        for x in taken:
+            self._add(x)
+        self.rows.extend(rows)
+        old = [self.rows.popleft() for _ in range(len(self.rows) - self.window)]
+        gone = [x for x in old if self.rng.random() < self.share] if self.root is not None else []
+        self.n -= len(gone)
+        for x in gone:
+            self._drop(x)
+
     def step(self, row):
         x = np.array(row, float)
-        depth = 0.0
-        if self.root is not None:
-            cell = self.root
-            while cell.kids:
-                cell = cell.kids[int(np.searchsorted(cell.cuts, x[cell.axis], "right"))]
-            depth = cell.depth + self.expected(cell.n)
-        if self.rng.random() < self.share:
-            self.n += 1
-            self._add(x)
-        self.rows.append(x)
-        if len(self.rows) > self.window:
-            old = self.rows.popleft()
-            if self.rng.random() < self.share and self.root is not None:
-                self.n -= 1
-                self._drop(old)
-        return (depth,)
+        if not self.batched:
+            depth = self.score(x)
+            self.learn([x])
+            return (depth,)
+        if x[-1] != self.batch:
+            self.learn(self.waiting)
+            self.batch, self.waiting = x[-1], []
+        self.waiting.append(x[:-1])
+        return (self.score(x[:-1]),)

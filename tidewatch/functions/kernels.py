@@ -8,6 +8,7 @@ State is plain Python and numpy, so it pickles for streaming.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import deque
 
 import numpy as np
@@ -20,6 +21,45 @@ class Kernel:
     def step(self, row: tuple) -> tuple:
         raise NotImplementedError
 
+    def info(self) -> dict[str, list[float]]:
+        """What the state holds, for those who want to look."""
+        return {}
+
+
+class Resettable(Kernel):
+    """A kernel that begins anew at a row whose last value is true, and says how many rows it had learned before each."""
+
+    def __init__(self, inner: Kernel):
+        self.fresh, self.inner, self.n = pickle.dumps(inner), inner, 0
+        self.outputs = f"{inner.outputs}, n_samples_seen long"
+
+    def step(self, row):
+        *row, anew = row
+        if anew:
+            self.inner, self.n = pickle.loads(self.fresh), 0
+        self.n += 1
+        return (*self.inner.step(tuple(row)), self.n - 1)
+
+    def info(self):
+        return self.inner.info()
+
+
+class Ageing(Kernel):
+    """A kernel whose state fades with time: the last value of each row if timed, else the row's number."""
+
+    def __init__(self, timed: bool = False):
+        self.timed, self.newest, self.n = timed, -math.inf, 0
+
+    def when(self, row: tuple) -> tuple[np.ndarray, float]:
+        """The row's features and its time, which may stand still but not go back."""
+        x = np.array(row, float)
+        if not self.timed:
+            return x, float(self.n)
+        if x[-1] < self.newest:
+            raise ValueError(f"time {x[-1]} is before {self.newest}")
+        self.newest = float(x[-1])
+        return x[:-1], self.newest
+
 
 class Transformer(Kernel):
     """A kernel whose answer, transform(row), and whose lesson, learn(row), can be asked for apart."""

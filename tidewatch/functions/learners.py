@@ -8,7 +8,7 @@ from collections import OrderedDict, defaultdict, deque
 
 import numpy as np
 
-from tidewatch.functions.kernels import Kernel
+from tidewatch.functions.kernels import Ageing, Kernel
 
 DISTANCES = {
     "euclidean": lambda gap, p: np.sqrt((gap * gap).sum(1)),
@@ -18,10 +18,11 @@ DISTANCES = {
 }
 
 
-class SdoStream(Kernel):
+class SdoStream(Ageing):
     """Distance to the nearest active observers; observers are sampled and fade."""
 
-    def __init__(self, k=256, horizon=512, idle=0.3, neighbours=6, distance="euclidean", p=2, warm_up=None, seed=1):
+    def __init__(self, k=256, horizon=512, idle=0.3, neighbours=6, distance="euclidean", p=2, warm_up=None, seed=1, timed=False):
+        super().__init__(timed)
         if distance not in DISTANCES:
             raise ValueError(f"unknown distance {distance!r}")
         self.k, self.x, self.idle, self.p = k, neighbours, idle, p
@@ -30,7 +31,7 @@ class SdoStream(Kernel):
         self.rng = np.random.default_rng(seed)
         self.at: list[np.ndarray] = []
         self.mass, self.born, self.touched = np.zeros(k), np.zeros(k), np.zeros(k)
-        self.n, self.last = 0, 0
+        self.now, self.last, self.last_at = 0.0, 0, 0.0
 
     def __getstate__(self):
         state = self.__dict__.copy()
@@ -43,7 +44,7 @@ class SdoStream(Kernel):
 
     def _faded(self) -> np.ndarray:
         m = len(self.at)
-        return self.mass[:m] * np.exp(-(self.n - self.touched[:m]) / self.horizon)
+        return self.mass[:m] * np.exp(-(self.now - self.touched[:m]) / self.horizon)
 
     def _score(self, x: np.ndarray) -> float:
         m = len(self.at)
@@ -56,23 +57,25 @@ class SdoStream(Kernel):
 
     def _place(self, i: int, x: np.ndarray) -> None:
         self.at[i : i + 1] = [x]
-        self.mass[i], self.born[i], self.touched[i] = 1.0, self.n, self.n
-        self.last = self.n
+        self.mass[i], self.born[i], self.touched[i] = 1.0, self.now, self.now
+        self.last, self.last_at = self.n, self.now
+
+    def info(self):
+        return {"n_samples_seen": [float(self.n)], "n_observers": [float(len(self.at))]}
 
     def step(self, row):
-        x = np.array(row, float)
+        x, self.now = self.when(row)
         score = self._score(x)
         if not self.at:
             self._place(0, x)
         else:
             near = np.argsort(self.distance(np.array(self.at) - x, self.p), kind="stable")[: self.x]
-            self.mass[near] = self.mass[near] * np.exp(-(self.n - self.touched[near]) / self.horizon) + 1
-            self.touched[near] = self.n
-            since = max(1, self.n - self.last)
-            odds = self.k**2 / (self.x * self.horizon) * self.mass[near].sum() * since
-            if self.rng.random() * self._faded().sum() * since < odds:
+            self.mass[near] = self.mass[near] * np.exp(-(self.now - self.touched[near]) / self.horizon) + 1
+            self.touched[near] = self.now
+            odds = self.k**2 / (self.x * self.horizon) * self.mass[near].sum() * max(1.0, self.now - self.last_at)
+            if self.rng.random() * self._faded().sum() * max(1, self.n - self.last) < odds:
                 m = len(self.at)
-                worth = self._faded() / np.maximum(self.n - self.born[:m], 1)
+                worth = self._faded() / np.maximum(self.now - self.born[:m], 1)
                 self._place(m if m < self.k else int(worth.argmin()), x)
         self.n += 1
         return (score,)
@@ -81,10 +84,11 @@ class SdoStream(Kernel):
 PRIME = 2147483647
 
 
-class RsHash(Kernel):
+class RsHash(Ageing):
     """Occupancy of randomly shifted grid cells in random subspaces, hashed and faded."""
 
-    def __init__(self, n_features=1, components=24, hashes=4, bins=256, subspace=None, width=1.0, decay=0.01, warm_up=64, seed=1):
+    def __init__(self, n_features=1, components=24, hashes=4, bins=256, subspace=None, width=1.0, decay=0.01, warm_up=64, seed=1, timed=False):
+        super().__init__(timed)
         rng = np.random.default_rng(seed)
         r = min(n_features, subspace or math.ceil(math.sqrt(n_features)))
         self.dims = np.array([np.sort(rng.choice(n_features, r, replace=False)) for _ in range(components)])
@@ -92,11 +96,14 @@ class RsHash(Kernel):
         self.a = rng.integers(1, PRIME, (components, hashes, r))
         self.b = rng.integers(0, PRIME, (components, hashes))
         self.counts = np.zeros((components, hashes, bins))
-        self.width, self.fade, self.warm, self.bins = width, math.exp(-decay), warm_up, bins
-        self.n, self.mean, self.m2 = 0, np.zeros(n_features), np.zeros(n_features)
+        self.width, self.decay, self.warm, self.bins = width, decay, warm_up, bins
+        self.last, self.mean, self.m2 = None, np.zeros(n_features), np.zeros(n_features)
+
+    def info(self):
+        return {"n_samples_seen": [float(self.n)], "is_ready": [float(self.n >= self.warm)]}
 
     def step(self, row):
-        x = np.array(row, float)
+        x, now = self.when(row)
         z = x if self.n == 0 else x - self.mean
         if self.n >= 2:
             z = z / np.maximum(np.sqrt(self.m2 / (self.n - 1)), 1e-6)
@@ -106,7 +113,8 @@ class RsHash(Kernel):
         for d in range(cell.shape[1]):
             total = (total + self.a[:, :, d] * cell[:, None, d] % PRIME) % PRIME
         at = (total % self.bins)[..., None]
-        self.counts *= self.fade if self.n else 1.0
+        self.counts *= 1.0 if self.last is None else math.exp(-self.decay * (now - self.last))
+        self.last = now
         held = np.take_along_axis(self.counts, at, 2)[..., 0]
         score = 0.0
         if self.n >= self.warm:
@@ -119,6 +127,55 @@ class RsHash(Kernel):
         return (score,)
 
 
+class Loda(Kernel):
+    """Mean negative log density over histograms of projections, whose counts fade by decay at each row.
+
+    matrix: a row for each projection, as operators.trees.loda_matrix makes it. The plan
+    operators.trees.loda gives the same without decay.
+    """
+
+    def __init__(self, matrix, n_bins=32, warm_up=256, decay=1.0, pseudocount=1.0, eps=1e-12):
+        if not 0 < decay <= 1:
+            raise ValueError("decay must be above 0 and at most 1")
+        self.matrix, self.bins, self.warm, self.decay = np.asarray(matrix, float), n_bins, warm_up, decay
+        self.pseudo, self.eps, self.n = pseudocount, eps, 0
+        self.first: list[np.ndarray] = []
+        self.every = np.arange(len(self.matrix))
+
+    def info(self):
+        return {"n_samples_seen": [float(self.n)], "is_ready": [float(self.n >= self.warm)]}
+
+    def _bin(self, z: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((z - self.low) / self.step_of), 0, self.bins - 1).astype(int)
+
+    def _fit(self) -> None:
+        z = np.array(self.first)
+        low, high = z.min(0), z.max(0)
+        flat = high - low <= self.eps
+        self.low = np.where(flat, low - 0.5, low)
+        self.step_of = (np.where(flat, high + 0.5, high) - self.low) / self.bins
+        self.counts, self.total, self.first = np.zeros((len(z.T), self.bins)), float(len(z)), []
+        for one in z:
+            self.counts[self.every, self._bin(one)] += 1
+
+    def step(self, row):
+        z = self.matrix @ np.array(row, float)
+        score = 0.0
+        if self.n < self.warm:
+            self.first.append(z)
+            if len(self.first) == self.warm:
+                self._fit()
+        else:
+            at = self._bin(z)
+            share = (self.counts[self.every, at] + self.pseudo) / (self.total + self.pseudo * self.bins)
+            score = max(0.0, float(-np.log(share / np.maximum(self.step_of, self.eps) + self.eps).mean()))
+            self.counts *= self.decay
+            self.counts[self.every, at] += 1
+            self.total = self.total * self.decay + 1
+        self.n += 1
+        return (score,)
+
+
 class XStream(Kernel):
     """Half-space chains over a sparse projection; bins of the last full window are counted exactly."""
 
@@ -280,6 +337,12 @@ class AdaptiveSvm(Kernel):
             self.sv, self.alpha, self.born = self.sv[keep], self.alpha[keep], self.born[keep]
         self._centre()
 
+    def info(self):
+        return {
+            "n_support_vectors": [float(len(self.sv))], "gamma": [float(self.gamma)], "rho": [float(self.rho)],
+            "n_samples_processed": [float(self.n)], "buffer_size": [float(len(self.recent))], "sv_ages": (self.n - self.born).tolist(),
+        }
+
     def _adapt(self) -> None:
         rows = np.array(self.recent)
         if self.n % 20 or len(rows) < 10:
@@ -320,6 +383,20 @@ class AdaptiveSvm(Kernel):
         return out
 
 
+def _soft(gap: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(gap) < 1, gap * gap / 2, np.abs(gap) - 0.5)
+
+
+#: For each loss, a value of each gap (their mean is the loss) and the slope of it.
+LOSSES = {
+    "mse": (np.square, lambda gap: 2 * gap),
+    "rmse": (np.square, lambda gap: gap),
+    "l1": (np.abs, np.sign),
+    "smooth_l1": (_soft, lambda gap: np.clip(gap, -1, 1)),
+    "huber": (_soft, lambda gap: np.clip(gap, -1, 1)),
+}
+
+
 class Net:
     """Dense layers with one activation between them, trained on one row at a time."""
 
@@ -335,17 +412,13 @@ class Net:
             out.append(z if i == len(self.w) - 1 else np.tanh(z) if self.tanh else np.maximum(z, 0))
         return out
 
-    def loss(self, x: np.ndarray, kind: str = "mse", learn: bool = False) -> float:
+    def loss(self, x: np.ndarray, kind: str | tuple = "mse", learn: bool = False) -> float:
         acts = self._forward(x)
         gap = acts[-1] - x
-        size = np.abs(gap)
-        near = size < 1
-        value = {
-            "mse": gap * gap, "rmse": gap * gap, "l1": size,
-            "smooth_l1": np.where(near, gap * gap / 2, size - 0.5), "huber": np.where(near, gap * gap / 2, size - 0.5),
-        }[kind].mean()
+        of, by = LOSSES[kind] if isinstance(kind, str) else kind
+        value = of(gap).mean()
         if learn:
-            slope = {"mse": 2 * gap, "rmse": gap, "l1": np.sign(gap)}.get(kind, np.clip(gap, -1, 1)) / len(x)
+            slope = by(gap) / len(x)
             for i in range(len(self.w) - 1, -1, -1):
                 back = self.w[i].T @ slope
                 self.w[i] = self.w[i] - self.rate * np.outer(slope, acts[i])
@@ -356,10 +429,16 @@ class Net:
 
 
 class Autoencoder(Kernel):
-    """Reconstruction loss of a network that learns each row by one gradient step."""
+    """Reconstruction loss of a network that learns each row by one gradient step.
+
+    loss: a name in LOSSES, or functions of the gaps as there. net: anything with
+    Net's loss(x, kind, learn), in place of dense layers.
+    """
 
-    def __init__(self, n_features=1, hidden=(64, 32, 16, 32, 64), loss="mse", rate=0.01, seed=1):
-        self.net = Net([n_features, *hidden, n_features], np.random.default_rng(seed), "relu", rate)
+    def __init__(self, n_features=1, hidden=(64, 32, 16, 32, 64), loss="mse", rate=0.01, seed=1, net=None):
+        if isinstance(loss, str) and loss not in LOSSES:
+            raise ValueError(f"unknown loss {loss!r}")
+        self.net = net or Net([n_features, *hidden, n_features], np.random.default_rng(seed), "relu", rate)
         self.kind = loss
 
     def step(self, row):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tidewatch.functions.kernels import Kernel
+from tidewatch.functions.kernels import Kernel, Resettable
 from tidewatch.plans.stream import StreamSpec
 
 
@@ -83,18 +83,60 @@ def _run(df: DataFrame, by: list[str], order: list[str], features: list[str], ad
     return dealt.mapInArrow(run, schema)
 
 
-def fold(df: DataFrame, spec: StreamSpec, features: list[str], make: Callable[[], Kernel]) -> DataFrame:
+def fold(df: DataFrame, spec: StreamSpec, features: list[str], make: Callable[[], Kernel], reset: str | None = None) -> DataFrame:
     """Adds the outputs of one kernel for each key of spec.by.
 
     A row with a null feature gets null outputs and isn't learned from. Without keys
-    the whole stream passes through one task, as its state is one chain.
+    the whole stream passes through one task, as its state is one chain. reset: a
+    boolean column; where it is true the kernel begins anew before the row (unless the
+    row has a null feature). n_samples_seen is then added too.
     """
     spec.check(df, *features)
+    if reset:
+        flag = "_tw_reset"
+        spec.check(df, reset)
+        given = df.withColumn(flag, F.coalesce(F.col(reset), F.lit(False)).cast("int"))
+        return fold(given, spec, [*features, flag], lambda: Resettable(make())).drop(flag)
     added = StructType.fromDDL(make().outputs)
     clean = df.drop(*added.fieldNames())
     return _run(clean, list(spec.by), list(spec.order), features, added, lambda key: [make()], lambda x: x[0], spec.discipline == "learn_first")
 
 
+def describe(df: DataFrame, spec: StreamSpec, features: list[str], make: Callable[[], Kernel]) -> DataFrame:
+    """A row for each key: rows learned, and what the kernel says of its state after the last of them."""
+    spec.check(df, *features)
+    by = list(spec.by)
+    keep = list(dict.fromkeys([*by, *spec.order, *features]))
+    schema = StructType([*[df.schema[c] for c in by], *StructType.fromDDL("n_samples_seen long, info map<string, array<double>>").fields])
+    kinds = to_arrow_schema(schema)
+    rows = df.select(*keep)
+    dealt = (spread(rows, *by) if by else rows.repartition(1)).sortWithinPartitions(*by, *spec.order)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, shown, kernel, n = None, None, None, 0
+
+        def told() -> pa.RecordBatch:
+            info = [(k, [float(v) for v in x]) for k, x in kernel.info().items()]
+            held = [pa.array([v], kinds.field(c).type) for c, v in zip(by, shown)]
+            return pa.RecordBatch.from_arrays([*held, pa.array([n], pa.int64()), pa.array([info], kinds.field("info").type)], schema=kinds)
+
+        for batch in batches:
+            values = list(zip(*[batch.column(c).to_pylist() for c in features]))
+            raw = list(zip(*[batch.column(c).to_pylist() for c in by])) if by else [()] * batch.num_rows
+            for key, own, row in zip(_keyed(batch, by), raw, values):
+                if kernel is None or key != last:
+                    if kernel is not None:
+                        yield told()
+                    last, shown, kernel, n = key, own, make(), 0
+                if not any(v is None or v != v for v in row):
+                    kernel.step(row)
+                    n += 1
+        if kernel is not None:
+            yield told()
+
+    return dealt.mapInArrow(run, schema)
+
+
 def _mean(x: tuple) -> tuple:
     """Sum and number of the members' answers; nulls if there are none."""
     got = [v for (v,) in x if v is not None]

@@ -7,7 +7,9 @@ comparing everything with everything.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,12 +26,15 @@ def _squared(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(df: DataFrame, vector: str, seq: str, k: int, window: int, warm_up: int, out: str = "score") -> DataFrame:
-    """Mean squared distance to the k nearest of the last window rows; 0 before warm_up rows."""
+def knn(df: DataFrame, vector: str, seq: str, k: int, window: int, warm_up: int, out: str = "score", distance: Callable[[str, str], Column] = _squared) -> DataFrame:
+    """Mean distance to the k nearest of the last window rows; 0 before warm_up rows.
+
+    distance: of two array columns, as a column; squared Euclidean by default.
+    """
     if warm_up < k:
         raise ValueError("warm_up must be at least k")
     doubles = df.withColumn(vector, F.col(vector).cast("array<double>"))
-    near = band(doubles, seq, window, [vector]).withColumn("_d", _squared(f"q_{vector}", f"o_{vector}"))
+    near = band(doubles, seq, window, [vector]).withColumn("_d", distance(f"q_{vector}", f"o_{vector}"))
     near = near.groupBy(F.col(f"q_{seq}").alias("_q")).agg(
         F.slice(F.array_sort(F.collect_list("_d")), 1, k).alias("_near")  # a window's rows at most
     )

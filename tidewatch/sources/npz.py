@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass
+import os
+import shutil
+import time
+import urllib.request
 from pathlib import Path
 
 import numpy as np
@@ -17,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 100_000
+from tidewatch.sources.datasets import KNOWN, DatasetInfo
 
 
 def _arrays(path: str, features: str, labels: str) -> tuple[np.ndarray, np.ndarray]:
@@ -52,26 +55,18 @@ def with_batches(df: DataFrame, size: int = 1000, seq: str = "seq") -> DataFrame
     return df.withColumn("batch", F.expr(f"`{seq}` div {size}"))
 
 
-@dataclass(frozen=True)
-class DatasetInfo:
-    name: str
-    filename: str
-    description: str = ""
-    n_samples: int = 0
-    n_features: int = 0
-    anomaly_rate: float = 0.0
-    source: str = ""
-    category: str = ""
-    sha256: str | None = None
-
-
 class Catalogue:
-    """Datasets of a folder, described by its catalogue.json (a list of DatasetInfo fields)."""
+    """Datasets of a folder: the well-known ones, unless its catalogue.json (a list of DatasetInfo fields) names others.
+
+    origin: an address (http, https or file) that bundles are fetched from when they are
+    not in the folder; none by default, so nothing is fetched unasked.
+    """
 
-    def __init__(self, folder: str):
-        self.folder = Path(folder)
+    def __init__(self, folder: str, origin: str | None = None, tries: int = 3, wait: float = 1.0):
+        self.folder, self.origin, self.tries, self.wait = Path(folder), origin, max(1, tries), max(0.0, wait)
         path = self.folder / "catalogue.json"
-        self.entries = {x["name"]: DatasetInfo(**x) for x in json.loads(path.read_text())} if path.exists() else {}
+        own = [DatasetInfo(**x) for x in json.loads(path.read_text())] if path.exists() else KNOWN
+        self.entries = {x.name: x for x in own}
 
     def info(self, name: str) -> DatasetInfo:
         if name not in self.entries:
@@ -94,15 +89,51 @@ class Catalogue:
     def cached(self) -> list[str]:
         return [n for n in self.available() if (self.folder / self.entries[n].filename).exists()]
 
+    def cached_bytes(self) -> int:
+        return sum((self.folder / self.entries[n].filename).stat().st_size for n in self.cached())
+
+    def _check(self, info: DatasetInfo, path: Path) -> Path:
+        if info.sha256 and hashlib.sha256(path.read_bytes()).hexdigest() != info.sha256:
+            raise ValueError(f"{path} does not have the digest in the catalogue")
+        return path
+
     def path(self, name: str) -> Path:
-        """Of a bundle that is there and has the digest it should."""
+        """Of a bundle that is there, or is fetched if there is an origin, and has the digest it should."""
         info = self.info(name)
         path = self.folder / info.filename
         if not path.exists():
-            raise FileNotFoundError(path)
-        if info.sha256 and hashlib.sha256(path.read_bytes()).hexdigest() != info.sha256:
-            raise ValueError(f"{path} does not have the digest in the catalogue")
-        return path
+            if self.origin is None:
+                raise FileNotFoundError(path)
+            return self.fetch(name)
+        return self._check(info, path)
+
+    def fetch(self, name: str, force: bool = False) -> Path:
+        """A bundle from the origin, put in place only once it is whole and its digest is right.
+
+        A failed try is made again after wait seconds, twice as long each time; a wrong
+        digest is no failed try, and leaves nothing behind.
+        """
+        info = self.info(name)
+        path = self.folder / info.filename
+        if path.exists() and not force:
+            return self._check(info, path)
+        if self.origin is None:
+            raise ValueError("there is no origin to fetch from")
+        self.folder.mkdir(parents=True, exist_ok=True)
+        part = path.with_name(f"{path.name}.{os.getpid()}.part")
+        try:
+            for n in range(self.tries):
+                try:
+                    with urllib.request.urlopen(f"{self.origin.rstrip('/')}/{info.filename}", timeout=60) as given, part.open("wb") as taken:
+                        shutil.copyfileobj(given, taken)
+                    break
+                except OSError as e:
+                    if n + 1 == self.tries:
+                        raise RuntimeError(f"{name} could not be fetched in {self.tries} tries") from e
+                    time.sleep(self.wait * 2**n)
+            return self._check(info, part).replace(path)
+        finally:
+            part.unlink(missing_ok=True)
 
     def load(self, spark: SparkSession, name: str, **how) -> DataFrame:
         return read_npz(spark, str(self.path(name)), **how)
@@ -113,3 +144,17 @@ class Catalogue:
         for path in gone:
             path.unlink()
         return len(gone)
+
+
+_default: list[Catalogue] = []
+
+
+def set_cache_dir(folder: str, origin: str | None = None) -> Catalogue:
+    """The folder that default_catalogue reads from now on."""
+    _default[:] = [Catalogue(folder, origin)]
+    return _default[0]
+
+
+def default_catalogue() -> Catalogue:
+    """The catalogue last set, else that of a cache folder in the user's home."""
+    return _default[0] if _default else set_cache_dir(str(Path.home() / ".cache" / "tidewatch"))
