@@ -159,7 +159,9 @@ class Loda(Kernel):
             self.counts[self.every, self._bin(one)] += 1
 
     def step(self, row):
-        z = self.matrix @ np.array(row, float)
+        z = np.zeros(len(self.matrix))
+        for weights, x in zip(self.matrix.T, row):  # in the order of features, so that bin edges fall alike everywhere
+            z = z + weights * x
         score = 0.0
         if self.n < self.warm:
             self.first.append(z)

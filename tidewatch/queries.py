@@ -13,7 +13,7 @@ from tidewatch.functions import learners as L
 from tidewatch.functions import transforms as X
 from tidewatch.functions.metrics import pr_auc, roc_auc
 from tidewatch.operators import counts, forests, moving, neighbours, pipelines, simple, trees
-from tidewatch.operators.fold import fold
+from tidewatch.operators.fold import describe, fold
 from tidewatch.plans.stream import StreamSpec, arrival
 
 W = 10
@@ -342,6 +342,31 @@ def loda(spark, sf_dir):
     return trees.loda(unit_lines(spark, sf_dir), list(_UNIT), "seq", "t", **LODA).select(*LINE_KEY, rounded(digits=5))
 
 
+LODA_FADED = {"n_bins": 8, "warm_up": 64, "decay": 0.999}
+
+
+def _loda_faded_sql() -> str:
+    """A count that fades at each row is a running sum of powers, brought to the row's own power (a supplier's rows keep these finite)."""
+    matrix, n, wu, d = trees.loda_matrix(3, 6, 5), LODA_FADED["n_bins"], LODA_FADED["warm_up"], LODA_FADED["decay"]
+    exprs = list(_UNIT.values())
+    z = [f"SELECT k, i, {j} AS j, {' + '.join(['0.0::DOUBLE'] + [f'CAST({float(w)!r} AS DOUBLE) * ({e})' for e, w in zip(('x0', 'x1', 'x2'), row) if w])} AS z FROM o" for j, row in enumerate(matrix)]
+    past = "ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""WITH o AS (SELECT *, l_suppkey AS k, row_number() OVER ({_LO}) - 1 AS i, {', '.join(f'({e})::DOUBLE AS x{c}' for c, e in enumerate(exprs))} FROM lineitem),
+z AS ({' UNION ALL '.join(z)}), e0 AS (SELECT k, j, min(z) AS lo, max(z) AS hi FROM z WHERE i < {wu} GROUP BY k, j),
+e AS (SELECT k, j, CASE WHEN hi - lo <= 1e-12 THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN hi - lo <= 1e-12 THEN 1.0 ELSE hi - lo END / {n} AS w FROM e0),
+b AS (SELECT k, i, j, w, least(greatest(floor((z - lo) / w), 0), {n - 1}) AS bin, pow({d}::DOUBLE, -greatest(i, {wu - 1})) AS p FROM z JOIN e USING (k, j)),
+c AS (SELECT k, i, w, pow({d}::DOUBLE, i - 1) * coalesce(sum(p) OVER (PARTITION BY k, j, bin {past}), 0) AS c, pow({d}::DOUBLE, i - 1) * sum(p) OVER (PARTITION BY k, j {past}) AS t FROM b),
+s AS (SELECT k, i, greatest(avg(-ln((c + 1) / (t + {float(n)}) / greatest(w, 1e-12) + 1e-12)), 0) AS s FROM c WHERE i >= {wu} GROUP BY k, i)
+SELECT {_LK}, round(coalesce(s, 0), 5) + 0.0 AS score FROM o LEFT JOIN s USING (k, i)"""
+
+
+@query("loda_decay", _loda_faded_sql())
+def loda_decay(spark, sf_dir):
+    rows = unit_features(spark, sf_dir).select(*LINES_ORDER, *_UNIT)
+    matrix = trees.loda_matrix(3, 6, 5)
+    return fold(rows, LINES, list(_UNIT), lambda: L.Loda(matrix, **LODA_FADED)).select(*LINE_KEY, rounded(digits=5))
+
+
 # Neighbours ----------------------------------------------------------------------------------
 
 
@@ -544,6 +569,44 @@ def online_iforest(spark, sf_dir):
     return out.select(*LINE_KEY, "score")
 
 
+@query("online_iforest_batch")
+def online_iforest_batch(spark, sf_dir):
+    """Months as batches: each is scored, then learned, as a whole."""
+    rows = unit_features(spark, sf_dir)
+    spec = StreamSpec(("t", *LINES_ORDER), ("l_suppkey",))
+    out = forests.online_forest(rows, spec, list(_UNIT), n_trees=4, max_leaf=16, window=256, batch="t")
+    return out.select(*LINE_KEY, "score")
+
+
+def _timed(make, spark, sf_dir):
+    """State that fades by days between rows."""
+    rows = unit_features(spark, sf_dir).withColumn("day", F.unix_date(F.col("l_shipdate").cast("date")).cast("double"))
+    return fold(rows.select(*LINES_ORDER, *_UNIT, "day"), LINES, [*_UNIT, "day"], make).select(*LINE_KEY, "score")
+
+
+query("sdostream_time")(functools.partial(_timed, lambda: L.SdoStream(32, 128, neighbours=4, timed=True)))
+query("rshash_time")(functools.partial(_timed, lambda: L.RsHash(3, components=8, hashes=2, bins=128, timed=True)))
+
+
+@query("page_hinkley_reset", f"""WITH o AS (SELECT *, count(*) FILTER (event_type = 'error') OVER ({_EV}) AS life FROM events),
+n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, life ORDER BY ts, event_id) AS i,
+  avg(value) OVER (PARTITION BY user_id, life ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS m FROM o)
+SELECT event_id, user_id, round(m, 6) + 0.0 AS mean, i - 1 AS n_samples_seen FROM n""")
+def page_hinkley_reset(spark, sf_dir):
+    """The detector begins anew at each error of a user; a limit that nothing reaches leaves the mean since."""
+    rows = table(spark, sf_dir, "events").withColumn("anew", F.col("event_type") == "error")
+    out = fold(rows, EVENTS, ["value"], lambda: K.PageHinkley(threshold=1e18), reset="anew")
+    return out.select("event_id", "user_id", rounded("mean"), "n_samples_seen")
+
+
+@query("svm_info", "SELECT l_suppkey, count(*) AS n_samples_seen, count(*)::DOUBLE AS n_processed, least(count(*), 200)::DOUBLE AS buffered FROM lineitem GROUP BY l_suppkey")
+def svm_info(spark, sf_dir):
+    """What the states of the adaptive machines say of themselves at the end."""
+    out = describe(unit_features(spark, sf_dir), LINES, list(_UNIT), lambda: L.AdaptiveSvm(budget=30))
+    told = lambda k: F.element_at(F.element_at("info", k), 1)
+    return out.select("l_suppkey", "n_samples_seen", told("n_samples_processed").alias("n_processed"), told("buffer_size").alias("buffered"))
+
+
 @query("anoedge")
 def anoedge(spark, sf_dir):
     """One chain of matrices for the whole stream."""
