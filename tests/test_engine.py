@@ -87,6 +87,21 @@ def test_decayed_counts(spark):
         assert h == pytest.approx(sum(0.5 ** (t - r.t - 1) for r in rows if r.a == a and r.t < t))
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 3, 5, 1000])
+def test_decayed_counts_over_many_buckets(spark, buckets):
+    rng = np.random.default_rng(buckets)
+    at = np.cumsum(rng.integers(1, 4, buckets)).tolist()
+    rows = [("k", t) for t in at for _ in range(int(rng.integers(1, 5)))] + [("other", 7)]
+    df = spark.createDataFrame(rows, "a string, t long")
+    got = {r.t: r.h for r in counts.decayed(df, ["a"], "t", 0.9, 1, "h").where("a = 'k'").collect()}
+    assert sorted(got) == at
+    h, last = 0.0, at[0]
+    for t in at:
+        h *= 0.9 ** (t - last)
+        assert got[t] == pytest.approx(h)
+        h, last = h + sum(r == ("k", t) for r in rows) / 0.9, t
+
+
 def test_half_space_against_a_fold(spark):
     rng = np.random.default_rng(6)
     x = rng.random((150, 2))

@@ -104,6 +104,18 @@ def test_deterministic_and_resumable(name):
     assert all(np.isfinite(x) for r in whole for x in r if not isinstance(x, str))
 
 
+@pytest.mark.parametrize("name", MODELS)
+def test_score_is_what_step_would_say(name):
+    kernel, rows = MODELS[name](), rows_of(name)
+    for i, row in enumerate(rows):
+        if i % 7 == 0:
+            for other in (row, rows[i - 3]):
+                assert kernel.score(other) == pickle.loads(pickle.dumps(kernel)).step(other)
+        kernel.step(row)
+    whole = MODELS[name]()
+    assert run(whole, rows) and whole.score(rows[0]) == kernel.score(rows[0])  # asking has taught it nothing
+
+
 @pytest.mark.parametrize("name", ["lof", "sdo", "rshash", "xstream", "asd", "rcf", "kitnet", "adaptive"])
 def test_outlier_scores_higher(name):
     kernel = MODELS[name]()

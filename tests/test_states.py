@@ -99,7 +99,7 @@ def test_a_batch_is_scored_before_it_is_learned():
     want = []
     for b in range(6):
         part = list(x[b * 16 : b * 16 + 16])
-        want += [plain.score(r) for r in part]
+        want += [plain.depth(r) for r in part]
         plain.learn(part)
     assert got == want
     assert got[:16] == [0.0] * 16
@@ -129,6 +129,19 @@ def test_reset_begins_anew(spark):
     assert "_tw_reset" not in fold(df, SPEC, ["f0"], lambda: K.Lof(3, 30), reset="anew").columns
 
 
+def test_a_reset_row_is_learned_before_it_is_asked(spark):
+    x = points(60, 1, 8)
+    df = frame(spark, x).withColumn("anew", F.col("i") == 30)
+    spec = StreamSpec(SPEC.order, SPEC.by, "learn_first")
+    got = {r.i: r for r in fold(df, spec, ["f0"], lambda: K.Lof(3, 30), reset="anew").collect()}
+    kernel = K.Lof(3, 30)
+    for i, (v,) in enumerate(x.tolist()):
+        kernel = K.Lof(3, 30) if i == 30 else kernel
+        kernel.step((v,))
+        assert got[i].score == pytest.approx(kernel.score((v,))[0])
+        assert got[i].n_samples_seen == (i if i < 30 else i - 30) + 1
+
+
 def test_describe_tells_the_state_of_each_key(spark):
     df = frame(spark, points(120, 2, 7), lambda i: [3, None, 5][i % 3]).withColumn("f0", F.when(F.col("i") % 10 != 0, F.col("f0")))
     got = {r.k: r for r in describe(df, SPEC, ["f0", "f1"], lambda: L.AdaptiveSvm(budget=10)).collect()}

@@ -55,16 +55,19 @@ class AsdForest(Kernel):
             steps += 1
         return steps + tree
 
+    def score(self, row):
+        if not self.trees:
+            return (0.0,)
+        mean = sum(self._path(t, row) for t in self.trees) / len(self.trees)
+        return (2.0 ** (-mean / isolation_norm(self.size)),)
+
     def step(self, row):
-        score = 0.0
-        if self.trees:
-            mean = sum(self._path(t, row) for t in self.trees) / len(self.trees)
-            score = 2.0 ** (-mean / isolation_norm(self.size))
+        out = self.score(row)
         self.buffer.append(row)
         if len(self.buffer) == self.size:
             self.trees.append(self._grow(np.array(self.buffer, float), math.ceil(math.log2(self.size))))
             self.buffer = [row]
-        return (score,)
+        return out
 
 
 class _Box:
@@ -176,14 +179,17 @@ class RandomCutTree(Kernel):
             top.up.kids[top.up.kids.index(top)] = other
         _to_root(other.up)
 
+    def score(self, row):
+        return (self._score(np.array(row, float)) if self.seen >= self.warm and self.root is not None else 0.0,)
+
     def step(self, row):
         x = np.array(row, float)
-        raw = self._score(x) if self.seen >= self.warm and self.root is not None else 0.0
+        out = self.score(row)
         self.leaves.append(self._insert(x))
         if len(self.leaves) > self.size:
             self._remove(self.leaves.popleft())
         self.seen += 1
-        return (raw,)
+        return out
 
 
 class MondrianTree(Kernel):
@@ -224,17 +230,20 @@ class MondrianTree(Kernel):
             since = node.time
             node = node.kids[node.side(x)]
 
-    def step(self, row):
+    def score(self, row):
+        if self.root is None:
+            return (0.0,)
         x = np.array(row, float)[self.dims]
-        path = 0.0
-        if self.root is not None:
-            node, steps = self.root, 0
-            while node.kids:
-                node = node.kids[node.side(x)]
-                steps += 1
-            path = steps + isolation_norm(node.n, 1.0)
-        self._extend(x)
-        return (path,)
+        node, steps = self.root, 0
+        while node.kids:
+            node = node.kids[node.side(x)]
+            steps += 1
+        return (steps + isolation_norm(node.n, 1.0),)
+
+    def step(self, row):
+        out = self.score(row)
+        self._extend(np.array(row, float)[self.dims])
+        return out
 
 
 class _Cell:
@@ -314,7 +323,7 @@ class OnlineTree(Kernel):
             if held:
                 up.low, up.high = np.min([k.low for k in held], 0), np.max([k.high for k in held], 0)
 
-    def score(self, x: np.ndarray) -> float:
+    def depth(self, x: np.ndarray) -> float:
         if self.root is None:
             return 0.0
         cell = self.root
@@ -334,14 +343,19 @@ class OnlineTree(Kernel):
         for x in gone:
             self._drop(x)
 
+    def score(self, row):
+        """Of the tree as it is; a waiting batch isn't learned for a row of the next one."""
+        x = np.array(row, float)
+        return (self.depth(x[:-1] if self.batched else x),)
+
     def step(self, row):
         x = np.array(row, float)
         if not self.batched:
-            depth = self.score(x)
+            depth = self.depth(x)
             self.learn([x])
             return (depth,)
         if x[-1] != self.batch:
             self.learn(self.waiting)
             self.batch, self.waiting = x[-1], []
         self.waiting.append(x[:-1])
-        return (self.score(x[:-1]),)
+        return (self.depth(x[:-1]),)

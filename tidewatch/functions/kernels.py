@@ -1,8 +1,9 @@
 """State machines for operators whose state depends on every earlier row.
 
 A kernel has ``step(row) -> tuple``: what the operator says of the row under the
-score-first discipline (drift detectors: after it), then the state learns it.
-State is plain Python and numpy, so it pickles for streaming.
+score-first discipline (drift detectors: after it), then the state learns it; and
+``score(row)``, which says the same and leaves the state as it is. State is plain
+Python and numpy, so it pickles for streaming.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ class Kernel:
     def step(self, row: tuple) -> tuple:
         raise NotImplementedError
 
+    def score(self, row: tuple) -> tuple:
+        """What step would say. Kernels whose answer and lesson are one (drift detectors) ask a copy of their state."""
+        return pickle.loads(pickle.dumps(self)).step(row)
+
     def info(self) -> dict[str, list[float]]:
         """What the state holds, for those who want to look."""
         return {}
@@ -40,6 +45,10 @@ class Resettable(Kernel):
         self.n += 1
         return (*self.inner.step(tuple(row)), self.n - 1)
 
+    def score(self, row):
+        """Of the state as it is: a reset comes with the row's lesson."""
+        return (*self.inner.score(tuple(row[:-1])), self.n)
+
     def info(self):
         return self.inner.info()
 
@@ -57,8 +66,7 @@ class Ageing(Kernel):
             return x, float(self.n)
         if x[-1] < self.newest:
             raise ValueError(f"time {x[-1]} is before {self.newest}")
-        self.newest = float(x[-1])
-        return x[:-1], self.newest
+        return x[:-1], float(x[-1])
 
 
 class Transformer(Kernel):
@@ -71,6 +79,9 @@ class Transformer(Kernel):
     def learn(self, row: tuple) -> None:
         raise NotImplementedError
 
+    def score(self, row):
+        return self.transform(row)
+
     def step(self, row):
         out = self.transform(row)
         self.learn(row)
@@ -245,9 +256,13 @@ class Lof(Kernel):
         return (apart if len(apart) >= self.k else order)[: self.k]
 
     def step(self, row):
+        out = self.score(row)
+        self.window.append(row)
+        return out
+
+    def score(self, row):
         x = np.array(row, float)
         rows = np.array(self.window, float).reshape(len(self.window), len(x))
-        self.window.append(row)
         if len(rows) <= self.k:
             return (0.0,)
         known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -319,11 +334,20 @@ class RandomHistograms(Kernel):
         self.counts = np.zeros((*shape, max_bins))
         self.bins, self.size, self.n = max_bins, window_size, 0
 
-    def step(self, row):
+    def _bin(self, row: tuple) -> np.ndarray:
         x = np.array(row, float)
-        at = np.clip(np.floor((x - self.low) / (self.high - self.low) * self.bins), 0, self.bins - 1).astype(int)[..., None]
+        return np.clip(np.floor((x - self.low) / (self.high - self.low) * self.bins), 0, self.bins - 1).astype(int)[..., None]
+
+    def _score(self, at: np.ndarray) -> float:
         share = (np.take_along_axis(self.counts, at, 2)[..., 0] + 1) / (self.counts.sum(2) + self.bins)
-        score = 0.0 if self.n == 0 and not self.counts.any() else float(np.mean(1 - share.prod(1)))
+        return 0.0 if self.n == 0 and not self.counts.any() else float(np.mean(1 - share.prod(1)))
+
+    def score(self, row):
+        return (self._score(self._bin(row)),)
+
+    def step(self, row):
+        at = self._bin(row)
+        score = self._score(at)
         np.put_along_axis(self.counts, at, np.take_along_axis(self.counts, at, 2) + 1, 2)
         self.n += 1
         if self.n > self.size:
@@ -351,7 +375,7 @@ class LinearSvm(Kernel):
             if node in seen:
                 continue
             seen.add(node)
-            w = self.w.setdefault(node, np.zeros(len(x)))
+            w = self.w[node] if node in self.w else np.zeros(len(x))
             if learn:
                 inside = self.rho[node] > w @ x
                 self.w[node] = w = (1 - self.rate * self.reg) * w + (self.rate * x if inside else 0)
@@ -361,8 +385,10 @@ class LinearSvm(Kernel):
                 queue.extend(self.graph[node])
         return out
 
+    def score(self, row):
+        return (max([0.0, *self._visit(np.array(row, float), False)]),)
+
     def step(self, row):
-        x = np.array(row, float)
-        score = max([0.0, *self._visit(x, False)])
-        self._visit(x, True)
-        return (score,)
+        out = self.score(row)
+        self._visit(np.array(row, float), True)
+        return out

@@ -42,16 +42,19 @@ class SdoStream(Ageing):
         self.__dict__.update(state)
         self.distance = DISTANCES[state["distance"]]
 
-    def _faded(self) -> np.ndarray:
+    def _faded(self, now: float) -> np.ndarray:
         m = len(self.at)
-        return self.mass[:m] * np.exp(-(self.now - self.touched[:m]) / self.horizon)
+        return self.mass[:m] * np.exp(-(now - self.touched[:m]) / self.horizon)
 
-    def _score(self, x: np.ndarray) -> float:
+    def score(self, row):
+        return (self._score(*self.when(row)),)
+
+    def _score(self, x: np.ndarray, now: float) -> float:
         m = len(self.at)
         active = min(m, max(self.x, int((1 - self.idle) * m)))
         if m < self.warm or active < self.x:
             return 0.0
-        best = np.argsort(self._faded(), kind="stable")[m - active :]
+        best = np.argsort(self._faded(now), kind="stable")[m - active :]
         d = self.distance(np.array(self.at)[best] - x, self.p)
         return float(np.median(np.sort(d)[: self.x]))
 
@@ -65,7 +68,8 @@ class SdoStream(Ageing):
 
     def step(self, row):
         x, self.now = self.when(row)
-        score = self._score(x)
+        self.newest = self.now
+        score = self._score(x, self.now)
         if not self.at:
             self._place(0, x)
         else:
@@ -73,9 +77,9 @@ class SdoStream(Ageing):
             self.mass[near] = self.mass[near] * np.exp(-(self.now - self.touched[near]) / self.horizon) + 1
             self.touched[near] = self.now
             odds = self.k**2 / (self.x * self.horizon) * self.mass[near].sum() * max(1.0, self.now - self.last_at)
-            if self.rng.random() * self._faded().sum() * max(1, self.n - self.last) < odds:
+            if self.rng.random() * self._faded(self.now).sum() * max(1, self.n - self.last) < odds:
                 m = len(self.at)
-                worth = self._faded() / np.maximum(self.now - self.born[:m], 1)
+                worth = self._faded(self.now) / np.maximum(self.now - self.born[:m], 1)
                 self._place(m if m < self.k else int(worth.argmin()), x)
         self.n += 1
         return (score,)
@@ -102,8 +106,8 @@ class RsHash(Ageing):
     def info(self):
         return {"n_samples_seen": [float(self.n)], "is_ready": [float(self.n >= self.warm)]}
 
-    def step(self, row):
-        x, now = self.when(row)
+    def _cells(self, x: np.ndarray) -> np.ndarray:
+        """The bin of each component and hash."""
         z = x if self.n == 0 else x - self.mean
         if self.n >= 2:
             z = z / np.maximum(np.sqrt(self.m2 / (self.n - 1)), 1e-6)
@@ -112,13 +116,27 @@ class RsHash(Ageing):
         total = self.b.copy()
         for d in range(cell.shape[1]):
             total = (total + self.a[:, :, d] * cell[:, None, d] % PRIME) % PRIME
-        at = (total % self.bins)[..., None]
-        self.counts *= 1.0 if self.last is None else math.exp(-self.decay * (now - self.last))
-        self.last = now
+        return (total % self.bins)[..., None]
+
+    def _faded(self, now: float) -> float:
+        return 1.0 if self.last is None else math.exp(-self.decay * (now - self.last))
+
+    def _score(self, held: np.ndarray) -> float:
+        if self.n < self.warm:
+            return 0.0
+        return float(np.clip(1 - np.log1p(held.min(1)) / math.log1p(max(self.n, 1)), 0, 1).mean())
+
+    def score(self, row):
+        x, now = self.when(row)
+        return (self._score(np.take_along_axis(self.counts, self._cells(x), 2)[..., 0] * self._faded(now)),)
+
+    def step(self, row):
+        x, now = self.when(row)
+        at = self._cells(x)
+        self.counts *= self._faded(now)
+        self.last = self.newest = now
         held = np.take_along_axis(self.counts, at, 2)[..., 0]
-        score = 0.0
-        if self.n >= self.warm:
-            score = float(np.clip(1 - np.log1p(held.min(1)) / math.log1p(max(self.n, 1)), 0, 1).mean())
+        score = self._score(held)
         np.put_along_axis(self.counts, at, held[..., None] + 1, 2)
         self.n += 1
         gap = x - self.mean
@@ -158,10 +176,21 @@ class Loda(Kernel):
         for one in z:
             self.counts[self.every, self._bin(one)] += 1
 
-    def step(self, row):
+    def _projected(self, row: tuple) -> np.ndarray:
         z = np.zeros(len(self.matrix))
         for weights, x in zip(self.matrix.T, row):  # in the order of features, so that bin edges fall alike everywhere
             z = z + weights * x
+        return z
+
+    def _score(self, at: np.ndarray) -> float:
+        share = (self.counts[self.every, at] + self.pseudo) / (self.total + self.pseudo * self.bins)
+        return max(0.0, float(-np.log(share / np.maximum(self.step_of, self.eps) + self.eps).mean()))
+
+    def score(self, row):
+        return (0.0 if self.n < self.warm else self._score(self._bin(self._projected(row))),)
+
+    def step(self, row):
+        z = self._projected(row)
         score = 0.0
         if self.n < self.warm:
             self.first.append(z)
@@ -169,8 +198,7 @@ class Loda(Kernel):
                 self._fit()
         else:
             at = self._bin(z)
-            share = (self.counts[self.every, at] + self.pseudo) / (self.total + self.pseudo * self.bins)
-            score = max(0.0, float(-np.log(share / np.maximum(self.step_of, self.eps) + self.eps).mean()))
+            score = self._score(at)
             self.counts *= self.decay
             self.counts[self.every, at] += 1
             self.total = self.total * self.decay + 1
@@ -209,14 +237,20 @@ class XStream(Kernel):
         if self.n == self.window:
             self.before, self.now, self.n = self.now, defaultdict(int), 0
 
+    def score(self, row):
+        return (self._score(np.array(row, float) @ self.project),)
+
+    def _score(self, y: np.ndarray) -> float:
+        if self.before is None:
+            return 0.0
+        least = [math.inf] * len(self.dims)
+        for c, level, key in self._bins(y):
+            least[c] = min(least[c], math.log2(1 + self.before.get(key, 0)) + level + 1)
+        return min(1.0, max(0.0, float(np.mean(2.0 ** (1 - np.array(least))))))
+
     def step(self, row):
         y = np.array(row, float) @ self.project
-        score = 0.0
-        if self.before is not None:
-            least = [math.inf] * len(self.dims)
-            for c, level, key in self._bins(y):
-                least[c] = min(least[c], math.log2(1 + self.before.get(key, 0)) + level + 1)
-            score = min(1.0, max(0.0, float(np.mean(2.0 ** (1 - np.array(least))))))
+        score = self._score(y)
         if self.half is None:
             self.first.append(y)
             if len(self.first) == self.init:
@@ -240,26 +274,42 @@ class AnoEdge(Kernel):
         self.radius, self.decay, self.warm, self.eps, self.normalize = radius, decay, warm_up, eps, normalize
         self.n, self.t = 0, None
 
+    def _faded(self, t: list) -> float:
+        return self.decay ** (t[0] - self.t) if t and self.t is not None and t[0] > self.t else 1.0
+
+    def _cells(self, src: float, dst: float) -> list[tuple[int, int]]:
+        """The edge's cell in each matrix."""
+        at = [((self.a[i] * (int(v) % PRIME) + self.b[i]) % PRIME) % self.m.shape[i + 1] for i, v in enumerate((src, dst))]
+        return list(zip(*at))
+
+    def score(self, row):
+        src, dst, *t = row
+        fade = self._faded(t)
+        return self._score(self._cells(src, dst), self.m if fade == 1.0 else self.m * fade)
+
+    def _score(self, cells: list[tuple[int, int]], every: np.ndarray) -> tuple:
+        scores = []
+        for m, (i, j) in zip(every, cells if self.n >= self.warm else []):
+            r = self.radius
+            near = m[max(0, i - r) : i + r + 1, max(0, j - r) : j + r + 1]
+            total, across, down = m.sum(), m[i].sum() + 1, m[:, j].sum() + 1
+            dense = (near.sum() + 1) / near.size / ((total + 1) / m.size + self.eps)
+            rare = across * down / (total + 1) / (m[i, j] + 1 + self.eps)
+            scores.append(math.log1p(dense) * math.log1p(rare) + 1 / math.sqrt(across * down))
+        score = float(np.median(scores)) if scores else 0.0
+        return (score / (1 + score) if self.normalize else score,)
+
     def step(self, row):
         src, dst, *t = row
-        if t and self.t is not None and t[0] > self.t:
-            self.m *= self.decay ** (t[0] - self.t)
+        if self._faded(t) != 1.0:
+            self.m *= self._faded(t)
         self.t = t[0] if t else None
-        at = [((self.a[i] * (int(v) % PRIME) + self.b[i]) % PRIME) % self.m.shape[i + 1] for i, v in enumerate((src, dst))]
-        scores = []
-        for h, (i, j) in enumerate(zip(*at)):
-            m = self.m[h]
-            if self.n >= self.warm:
-                r = self.radius
-                near = m[max(0, i - r) : i + r + 1, max(0, j - r) : j + r + 1]
-                total, across, down = m.sum(), m[i].sum() + 1, m[:, j].sum() + 1
-                dense = (near.sum() + 1) / near.size / ((total + 1) / m.size + self.eps)
-                rare = across * down / (total + 1) / (m[i, j] + 1 + self.eps)
-                scores.append(math.log1p(dense) * math.log1p(rare) + 1 / math.sqrt(across * down))
+        cells = self._cells(src, dst)
+        out = self._score(cells, self.m)
+        for m, (i, j) in zip(self.m, cells):
             m[i, j] += 1
         self.n += 1
-        score = float(np.median(scores)) if scores else 0.0
-        return (score / (1 + score) if self.normalize else score,)
+        return out
 
 
 class StreamSpot(Kernel):
@@ -276,7 +326,11 @@ class StreamSpot(Kernel):
         h = int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=9, key=self.key).digest(), "little")
         return (h >> 8) % self.dim, 1.0 if h % 2 == 0 else -1.0
 
-    def step(self, row):
+    def score(self, row):
+        return self._asked(row)[0]
+
+    def _asked(self, row: tuple) -> tuple[tuple, np.ndarray, deque]:
+        """The score, the graph's sketch with the edge, and the edges before it."""
         graph, edge = row[0], tuple(row[1:])
         known = self.graphs.get(graph)
         sketch, tail = known or (np.zeros(self.dim), deque(maxlen=self.shingle - 1))
@@ -290,6 +344,11 @@ class StreamSpot(Kernel):
         if len(self.graphs) >= self.warm and len(self.centres):
             d = math.sqrt(float(((self.centres - new) ** 2).sum(1).min()))
             score = d / (1 + d + self.eps) + novelty
+        return (score / (1 + score) if self.normalize else score,), new, tail
+
+    def step(self, row):
+        graph, edge = row[0], tuple(row[1:])
+        out, new, tail = self._asked(row)
         if len(self.centres) < self.k:
             self.centres = np.vstack((self.centres, new))
             self.weights.append(1.0)
@@ -302,7 +361,7 @@ class StreamSpot(Kernel):
         self.graphs.move_to_end(graph)
         if len(self.graphs) > self.most:
             self.graphs.popitem(last=False)
-        return (score / (1 + score) if self.normalize else score,)
+        return out
 
 
 class AdaptiveSvm(Kernel):
@@ -360,12 +419,15 @@ class AdaptiveSvm(Kernel):
             self.gamma = float(np.clip(self.gamma + self.rate * (aim - self.gamma), *self.bounds))
             self._centre()
 
+    def score(self, row):
+        if not len(self.sv):
+            return 0.0, 1
+        f = self._decide(self._scaled(np.array(row, float)))
+        return -f, 1 if f >= -self.tol else -1
+
     def step(self, row):
         x = np.array(row, float)
-        out = (0.0, 1)
-        if len(self.sv):
-            f = self._decide(self._scaled(x))
-            out = (-f, 1 if f >= -self.tol else -1)
+        out = self.score(row)
         if self.mean is None:
             self.mean, self.std = x.copy(), np.ones_like(x)
         else:
@@ -443,6 +505,9 @@ class Autoencoder(Kernel):
         self.net = net or Net([n_features, *hidden, n_features], np.random.default_rng(seed), "relu", rate)
         self.kind = loss
 
+    def score(self, row):
+        return (self.net.loss(np.array(row, float), self.kind, learn=False),)
+
     def step(self, row):
         x = np.array(row, float)
         return (self.net.loss(x, self.kind, learn=True),)
@@ -499,6 +564,9 @@ class LstmAutoencoder(Kernel):
             self.encoder.learn(slope, self.rate)
         return float((gap * gap).mean())
 
+    def score(self, row):
+        return (self.loss(np.array(row, float)),)
+
     def step(self, row):
         return (self.loss(np.array(row, float), learn=True),)
 
@@ -536,11 +604,14 @@ class KitNet(Kernel):
     def _errors(self, x: np.ndarray, learn: bool) -> np.ndarray:
         return np.array([net.loss(x[g], "rmse", learn) for g, net in zip(self.groups, self.nets)])
 
+    def score(self, row):
+        ready = self.n >= self.map + self.train
+        score = self.top.loss(self._errors(np.array(row, float), False), "rmse") if ready else 0.0
+        return max(0.0, score), "ready" if ready else "detector" if self.n >= self.map else "feature_map"
+
     def step(self, row):
         x = np.array(row, float)
-        ready = self.n >= self.map + self.train
-        score = self.top.loss(self._errors(x, False), "rmse") if ready else 0.0
-        phase = "ready" if ready else "detector" if self.n >= self.map else "feature_map"
+        out = self.score(row)
         if self.n < self.map:
             s = np.append(x, 1.0)
             self.sums = np.outer(s, s) if self.sums is None else self.sums + np.outer(s, s)
@@ -549,7 +620,7 @@ class KitNet(Kernel):
                 self.groups = self._groups(self.sums[:-1, :-1] / self.map - np.outer(mean, mean))
                 self.nets = [self._net(len(g)) for g in self.groups]
                 self.top = self._net(len(self.groups))
-        elif not ready or self.adaptive:
+        elif self.adaptive or self.n < self.map + self.train:
             self.top.loss(self._errors(x, True), "rmse", learn=True)
         self.n += 1
-        return max(0.0, score), phase
+        return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 
 from tidewatch.functions.kernels import Kernel, Transformer
@@ -80,8 +78,8 @@ class Chain(Transformer):
     """Transformers, then a detector or one transformer more.
 
     A row is scored as the transformers see it before they learn it, and learned by
-    each part as the parts before it see it afterwards. Where the two differ, a copy
-    of the detector is asked. Nulls of an unlearned scaler give null outputs.
+    each part as the parts before it see it afterwards. Nulls of an unlearned scaler
+    give null outputs.
     """
 
     def __init__(self, *parts: Kernel):
@@ -105,11 +103,13 @@ class Chain(Transformer):
         return row
 
     def transform(self, row):
-        last = self.parts[-1]
-        if not isinstance(last, Transformer):
+        if not isinstance(self.parts[-1], Transformer):
             raise TypeError("the last part is a detector, which scores")
+        return self.score(row)
+
+    def score(self, row):
         asked = self._asked(row)
-        return self._nulls() if None in asked else last.transform(asked)
+        return self._nulls() if None in asked else self.parts[-1].score(asked)
 
     def learn(self, row):
         self.parts[-1].step(self._learned(row))
@@ -120,10 +120,7 @@ class Chain(Transformer):
         own = self._learned(row)
         if asked == own:
             return last.step(own)
-        if None in asked:
-            out = self._nulls()
-        else:
-            out = last.transform(asked) if isinstance(last, Transformer) else pickle.loads(pickle.dumps(last)).step(asked)
+        out = self._nulls() if None in asked else last.score(asked)
         last.step(own)
         return out
 

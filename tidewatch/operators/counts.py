@@ -23,13 +23,22 @@ def decayed(df: DataFrame, keys: list[str], bucket: str, factor: float, lag: int
     """keys, bucket, name: the sum over earlier buckets b of factor ** (bucket - b - lag) times their rows.
 
     One row for each key and bucket goes into the fold, in order; powers never exceed 1.
+    The fold runs over runs of about the square root of a key's buckets, so that what it
+    copies to append a sum is a run, or the list of runs, and never all sums.
     """
     per = df.groupBy(*keys, bucket).agg(F.count("*").alias("_c"))
-    fold = f"""aggregate(array_sort(_all), named_struct('b', cast(null as bigint), 'h', 0D, 'out', cast(array() as array<struct<b:bigint,h:double>>)),
+    kind = "array<struct<b:bigint,h:double>>"
+    within = f"""aggregate(run, named_struct('b', before.b, 'h', before.h, 'out', cast(array() as {kind})),
       (acc, x) -> transform(array(if(acc.b is null, 0D, acc.h * pow({factor}D, x.b - acc.b))), h ->
-        named_struct('b', x.b, 'h', h + x.c * pow({factor}D, -{lag}), 'out', concat(acc.out, array(named_struct('b', x.b, 'h', h)))))[0],
-      acc -> acc.out)"""
-    out = per.groupBy(*keys).agg(F.collect_list(F.struct(F.col(bucket).cast("long").alias("b"), F.col("_c").cast("double").alias("c"))).alias("_all"))
+        named_struct('b', x.b, 'h', h + x.c * pow({factor}D, -{lag}), 'out', concat(acc.out, array(named_struct('b', x.b, 'h', h)))))[0])"""
+    fold = f"""aggregate(_runs, named_struct('b', cast(null as bigint), 'h', 0D, 'out', cast(array() as array<{kind}>)),
+      (before, run) -> transform(array({within}), made ->
+        named_struct('b', made.b, 'h', made.h, 'out', concat(before.out, array(made.out))))[0],
+      made -> flatten(made.out))"""
+    size = "greatest(1, cast(sqrt(size(_all)) as int))"
+    runs = f"transform(sequence(1, size(_all), {size}), i -> slice(_all, i, {size}))"
+    each = F.struct(F.col(bucket).cast("long").alias("b"), F.col("_c").cast("double").alias("c"))
+    out = per.groupBy(*keys).agg(F.array_sort(F.collect_list(each)).alias("_all")).withColumn("_runs", F.expr(runs))
     return out.select(*keys, F.explode(F.expr(fold)).alias("_o")).select(*keys, F.col("_o.b").alias(bucket), F.col("_o.h").alias(name))
 
 

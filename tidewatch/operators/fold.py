@@ -7,7 +7,6 @@ state, however long a key's history is.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -24,7 +23,7 @@ from tidewatch.plans.stream import StreamSpec
 def answers(kernel: Kernel, rows: Iterable[tuple], width: int, learn_first: bool = False) -> Iterator[tuple]:
     """What the kernel says of each row. A row with a null or NaN teaches nothing and gets nulls.
 
-    learn_first: of a copy of the kernel that has learned the row; the kernel itself goes on unscored.
+    learn_first: after it has learned the row.
     """
     none = (None,) * width
     for row in rows:
@@ -32,7 +31,7 @@ def answers(kernel: Kernel, rows: Iterable[tuple], width: int, learn_first: bool
             yield none
             continue
         made = kernel.step(row)
-        yield pickle.loads(dump(kernel)).step(row) if learn_first else made
+        yield kernel.score(row) if learn_first else made
 
 
 def advance(kernel: Kernel, pdf: pd.DataFrame, features: list[str], outputs: list[str], learn_first: bool = False) -> pd.DataFrame:
@@ -170,7 +169,3 @@ def ensemble(df: DataFrame, spec: StreamSpec, features: list[str], members: int,
     each = _run(wide, [*by, "_group"], order, features, added, start, _mean, learn_first)
     sums = each.groupBy(*row).agg((F.sum("_sum") / F.sum("_of")).alias(out))
     return df.drop(out).join(sums, row)
-
-
-def dump(kernel: Kernel) -> bytes:
-    return pickle.dumps(kernel)
