@@ -61,13 +61,16 @@ def match(captures: DataFrame, events: DataFrame, salts: int = 16) -> DataFrame:
     deepest = spans.agg(F.max(depth)).first()[0] or 0
     base = captures.select(
         "page_id", "fetched_at", "url", host_of(F.col("url")).alias("host"), F.slice(segments_of(F.col("url")), 1, max(deepest, 1)).alias("path")
-    ).withColumn("row", F.xxhash64("page_id", "url", "fetched_at"))
+    )
+    # Two hashes stand for a capture: one of 64 bits would meet its like among 10^10 captures.
+    what = ["page_id", "url", "fetched_at"]
+    base = base.withColumn("row", F.xxhash64(*what)).withColumn("also", F.xxhash64(F.lit("also"), *what))
     domains = "transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 1000000), '.'))"
     prefixes = f"transform(sequence(0, least({deepest}, size(path))), k -> if(k = 0, '', concat('/', lower(array_join(slice(path, 1, greatest(k, 1)), '/')))))"
     keys = F.expr(f"flatten(transform({domains}, d -> transform({prefixes}, p -> concat(d, p))))")
     asked = (
         base.where(F.col("host").isNotNull() & F.col("fetched_at").isNotNull())
-        .select("row", "fetched_at", F.explode(keys).alias("key"))
+        .select("row", "also", "fetched_at", F.explode(keys).alias("key"))
         .withColumn("salt", F.pmod(F.col("row"), F.lit(salts).cast("long")))
     )
     listed = spans.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
@@ -77,12 +80,12 @@ def match(captures: DataFrame, events: DataFrame, salts: int = 16) -> DataFrame:
     )
     found = (
         asked.join(listed, ["key", "salt"])
-        .select("row", "key", live.alias("live"))
+        .select("row", "also", "key", live.alias("live"))
         .where(F.size("live") > 0)
-        .groupBy("row")
+        .groupBy("row", "also")
         .agg(F.collect_set("key").alias("entries"), F.flatten(F.collect_set(F.transform("live", lambda s: s["list"]))).alias("lists"))
     )
-    return base.join(found, "row", "left").select(
+    return base.join(found, ["row", "also"], "left").select(
         "page_id", "host", "fetched_at",
         F.coalesce(F.size("entries"), F.lit(0)).cast("long").alias("n_entries"),
         F.coalesce(F.array_join(F.array_sort(F.array_distinct("lists")), ","), F.lit("")).alias("lists"),
