@@ -13,7 +13,8 @@ their ids.
 Defined results: a null or empty text has no words and fails the base rules;
 unlabelled rows and null labels aren't learned from; without labelled rows of
 both classes the list is empty and keeps what the base rules keep; repeated
-labels of a document count once, by their smallest value; repeated rows give
+labels of a document count once, by their smallest value, and rows that repeat
+an id are learned from once, by the least of their statistics; repeated rows give
 repeated results; very long texts are taken whole; ties between thresholds go to
 the first statistic as listed; an empty table gives no rows; other columns,
 whatever their names, are ignored.
@@ -204,8 +205,11 @@ def fit_rules(docs: DataFrame, labels: DataFrame, label_col: str = "quality", ma
         .limit(max_labelled)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    one = F.min(F.struct(*[c.split()[0] for c in STATS.split(", ")])).alias("_one")
     pdf = (
         with_statistics(rows)
+        .groupBy("doc_id").agg(one)
+        .select("doc_id", "_one.*")
         .join(F.broadcast(chosen), "doc_id")
         .selectExpr("doc_id", "_label", *[f"cast({e} as double) as {k}" for k, e in RATIOS.items()])
         .toPandas()
