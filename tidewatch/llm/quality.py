@@ -12,8 +12,10 @@ of their ids; scoring covers every row and every word.
 
 Defined results: a null or empty text, or one without words, gets the score of
 the bias alone; unlabelled rows and null labels aren't learned from; repeated
-labels of a document count once, by their largest value; an id without a
-remainder (null) is not held out; other columns are ignored.
+labels of a document count once, by their largest value, and rows that repeat an
+id are learned from once, by the first of their texts in order; repeated rows give
+repeated results; an id without a remainder (null) is not held out; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -168,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, learn, p: Params)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(p.max_labelled)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_label").alias("_label"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable")
