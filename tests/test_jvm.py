@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tidewatch import queries as Q
 from tidewatch.functions import forests as T
 from tidewatch.functions import kernels as K
+from tidewatch.functions import learners as L
 from tidewatch.functions import transforms as X
+from tidewatch.operators import edges
 from tidewatch.operators.fold import ensemble, fold
 from tidewatch.plans.stream import StreamSpec
 
@@ -92,3 +94,41 @@ def test_random_cut_forest_runs_in_the_jvm(spark):
     for name in ("rcf", "rcf_shingle"):
         out = Q.QUERIES[name](spark, DATA)
         assert "MapInArrow" not in plan(out) and out.where("score is null").count() == 0 and out.count() == Q.lines(spark, DATA).count()
+
+
+@pytest.mark.parametrize("order, discipline", [("double", "score_first"), ("timestamp_ntz", "score_first"), ("timestamp", "learn_first"), ("date", "score_first"), ("string", "score_first")])
+def test_edges_in_pieces(spark, order, discipline):
+    """Pieces of a stream begin with what the pieces before them counted; nulls and NaNs lie in the first and last one."""
+    rng = np.random.default_rng(2)
+    made = [(i, int(rng.integers(0, 40)) ** 2, None if i % 29 == 3 else int(rng.integers(-5, 9)), int(rng.integers(0, 7))) for i in range(900)]
+    df = spark.createDataFrame(made, "i int, v int, src long, dst int")
+    value = {"double": "cast(v as double) / 7", "string": "lpad(v, 6, '0')", "date": "date_add(date'2000-01-01', v)"}.get(order, f"cast(timestamp_seconds(v * 1800) as {order})")
+    df = df.withColumn("o", F.when(F.col("i") % 11 == 4, None).otherwise(F.expr(value)))
+    if order == "double":
+        df = df.withColumn("o", F.when(F.col("i") % 13 == 6, F.lit(float("nan"))).otherwise(F.col("o")))
+    make = lambda: L.AnoEdge(8, 6, 3, 1, warm_up=20)
+    out = edges.anoedge(df, StreamSpec(("o", "i"), (), discipline), ["src", "dst"], make)
+    assert "MapInArrow" not in plan(out) and out.columns == [*df.columns, "score"]
+    assert ("_piece" in plan(out)) == (order != "string")
+    kernel, want = make(), {}
+    for r in df.orderBy("o", "i").collect():
+        want[r.i] = None if r.src is None else kernel.step((r.src, r.dst))[0]
+        if discipline == "learn_first" and r.src is not None:
+            want[r.i] = kernel.score((r.src, r.dst))[0]
+    same({r.i: r.score for r in out.collect()}, want)
+
+
+def test_fading_edges_are_one_fold(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, int(rng.integers(0, 30)), int(rng.integers(0, 9)), i // 25) for i in range(400)], "i int, src long, dst long, t long")
+    for how in ({"decay": 0.7}, {"decay": 0.7, "normalize": True, "hashes": 4}):
+        make = lambda: L.AnoEdge(8, 6, **{"hashes": 3, "radius": 2, "warm_up": 20, **how})  # noqa: E731, B023
+        out = edges.anoedge(df, StreamSpec(("i",)), ["src", "dst", "t"], make)
+        assert "_piece" not in plan(out) and "MapInArrow" not in plan(out)
+        kernel = make()
+        same({r.i: r.score for r in out.collect()}, {r.i: kernel.step((r.src, r.dst, r.t))[0] for r in df.orderBy("i").collect()})
+    assert edges.anoedge(df.limit(0), StreamSpec(("i",)), ["src", "dst", "t"], lambda: L.AnoEdge(8, 6, 2, 1)).count() == 0
+
+
+def test_anoedge_is_dealt(spark):
+    assert "_piece" in plan(Q.QUERIES["anoedge"](spark, DATA))

@@ -12,7 +12,7 @@ from tidewatch.functions import kernels as K
 from tidewatch.functions import learners as L
 from tidewatch.functions import transforms as X
 from tidewatch.functions.metrics import pr_auc, roc_auc
-from tidewatch.operators import counts, forests, moving, neighbours, pipelines, simple, trees
+from tidewatch.operators import counts, edges, forests, moving, neighbours, pipelines, simple, trees
 from tidewatch.operators.fold import describe, fold
 from tidewatch.plans.stream import StreamSpec, arrival
 
@@ -611,7 +611,7 @@ def svm_info(spark, sf_dir):
 def anoedge(spark, sf_dir):
     """One chain of matrices for the whole stream."""
     rows = lines(spark, sf_dir).select(*LINES_ORDER, "t")
-    return fold(rows, StreamSpec(LINES_ORDER), ["l_partkey", "l_suppkey", "t"], lambda: L.AnoEdge(32, 32, 2, 1)).select(*LINE_KEY, "score")
+    return edges.anoedge(rows, StreamSpec(LINES_ORDER), ["l_partkey", "l_suppkey", "t"], lambda: L.AnoEdge(32, 32, 2, 1)).select(*LINE_KEY, "score")
 
 
 @query("streamspot")
